@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Patterns, lengths and word lists the results depend on.
+WORD = r"[\p{L}\p{N}_]+"
 TYPE_PREFIX = r"(?i)^\[(PERSON|ORGANIZATION|OBJECT|LOCATION|EVENT)\]\s+"
 LIST_SEPARATOR = "<SEP>"
 ISO_DASH = r"\b(\d{4})-(\d{2})-(\d{2})\b"
 ISO_SLASH = r"\b(\d{4})/(\d{2})/(\d{2})\b"
 MONTH_FIRST = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
 UUID_PREFIX = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}_(?=.)"
-LABEL_SEPARATORS = r"^[\s:;,\-–—]+"
+LABEL_SEPARATORS = r"[\s:;,\-–—]+"
+ARTICLE = r"(?:the|a|an)\s+"
 NON_FACTS = ["unknown", "n/a", "none", "not available", "insufficient evidence"]
 DESCRIBED_TYPES = ["event", "communication", "document", "asset"]
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿœšž"
-UNACCENTED = "aaaaaaceeeeiiiinoooooouuuuyyosz"
+UNWHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+ACCENTED = "aaaaaaceeeeiiiinoooooouuuuyyosz"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trims all Unicode white space; much cheaper per row than a pattern."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def squeeze(c: Column) -> Column:
@@ -28,8 +39,7 @@ def squeeze(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    text = strip(c)
-    return F.when(text != "", text)
+    return F.nullif(strip(c), F.lit(""))
 
 
 def pick_text(*candidates: Column) -> Column:
@@ -39,7 +49,7 @@ def pick_text(*candidates: Column) -> Column:
 
 def clip(c: Column, limit: int) -> Column:
     """Texts over the limit are cut and end with an ellipsis inside the limit."""
-    cut = F.regexp_replace(F.substring(c, 1, limit - 3), r"(?U)\s+$", "")
+    cut = F.rtrim(F.substring(c, 1, limit - 3), F.lit(WHITE_SPACE))
     return F.when(F.length(c) > limit, F.concat(cut, F.lit("..."))).otherwise(c)
 
 
@@ -100,39 +110,24 @@ def first_date(c: Column) -> Column:
 
 def clean_description(description: Column, label: Column) -> Column:
     """Drops a repeated leading label ("X: X is ..."), with or without articles."""
-    text = strip(description)
-    name = F.lower(strip(label))
-    article = r"(?i)^(?:the|a|an)\s+"
-
-    def starts(c: Column) -> Column:
-        return F.lower(c).startswith(name)
-
-    def tail(c: Column) -> Column:
-        return F.substr(c, F.length(name) + 1)
-
-    def bare(c: Column) -> Column:
-        return F.regexp_replace(c, article, "")
-
-    def bounded(c: Column) -> Column:
-        last_is_word = name.rlike(r"(?U)\w$")
-        next_is_word = tail(c).rlike(r"(?U)^\w")
-        return starts(c) & (last_is_word != next_is_word) & ~c.contains("\n")
-
-    def after_separator(c: Column) -> Column:
-        return F.regexp_replace(tail(c), LABEL_SEPARATORS, "")
-
-    plain, articled = after_separator(text), after_separator(bare(text))
-    separated = starts(text) & (plain != tail(text))
-    separated_articled = starts(bare(text)) & (bare(text) != text) & (articled != tail(bare(text)))
+    text, name = strip(description), strip(label)
+    quoted = F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    plain = F.concat(F.lit("(?diU)^"), quoted, F.lit(f"{LABEL_SEPARATORS}((?:{ARTICLE})?"), quoted, F.lit(r"\b.*)$"))
+    articled = F.concat(F.lit(f"(?diU)^{ARTICLE}"), quoted, F.lit(f"{LABEL_SEPARATORS}({ARTICLE}"), quoted, F.lit(r"\b.*)$"))
     return (
         F.when(text == "", F.lit(None))
         .when(F.coalesce(name, F.lit("")) == "", text)
-        .when(separated & (bounded(plain) | (bounded(bare(plain)) & (bare(plain) != plain))), plain)
-        .when(separated_articled & bounded(bare(articled)) & (bare(articled) != articled), articled)
+        .when(F.lower(text).startswith(F.lower(name)), _extracted_or_whole(text, plain))
+        .when(text.rlike(f"(?i)^{ARTICLE}"), _extracted_or_whole(text, articled))
         .otherwise(text)
     )
 
 
+def _extracted_or_whole(text: Column, pattern: Column) -> Column:
+    found = F.call_function("regexp_extract", text, pattern, F.lit(1))
+    return F.coalesce(F.nullif(found, F.lit("")), text)
+
+
 def usable_summary(*candidates: Column) -> Column:
     """First filled description; raw extraction lines (tabs and newlines) are no description."""
     text = pick_text(*candidates)
@@ -222,7 +217,7 @@ def fold(c: Column) -> Column:
 def rough_tokens(c: Column) -> Column:
     """Words and single marks; 0 for a blank text, else at least 1."""
     text = strip(F.coalesce(c, F.lit("")))
-    n = F.regexp_count(text, F.lit(r"(?U)\w+|[^\w\s]"))
+    n = F.regexp_count(text, F.lit(WORD + r"|[^\p{L}\p{N}_\s]"))
     return F.when(text == "", F.lit(0)).otherwise(F.greatest(F.lit(1), n))
 
 

@@ -14,7 +14,8 @@ from caseloom.functions.text import (
 )
 from caseloom.functions.vocabulary import FALLBACK_RELATION, normalise_entity_type, normalise_relation
 
-ORD = F.struct("source_ord", "row_ord")
+def seen_at() -> Column:
+    return F.struct("source_ord", "row_ord")
 
 
 def field(df: DataFrame, name: str) -> Column:
@@ -27,7 +28,7 @@ def _pick(df: DataFrame, *names: str) -> Column:
 
 
 def _first(value: Column) -> Column:
-    return F.min_by(value, F.when(value.isNotNull(), ORD))
+    return F.min_by(value, F.when(value.isNotNull(), seen_at()))
 
 
 def edge_id(src: Column, tgt: Column, relation: Column) -> Column:
@@ -36,15 +37,19 @@ def edge_id(src: Column, tgt: Column, relation: Column) -> Column:
 
 def node_records(records: DataFrame) -> DataFrame:
     """One typed row per raw node record that names a node."""
-    named = records.withColumn("node_id", _pick(records, "entity_name", "id", "node_id", "label", "name"))
-    raw_label = F.coalesce(_pick(records, "label", "entity_name", "name"), F.col("node_id"))
-    label = without_type(raw_label)
-    summary = usable_summary(field(records, "description"), field(records, "summary"), field(records, "content"))
-    return named.filter(F.col("node_id").isNotNull()).select(
-        "case_id", "source_ord", "row_ord", "node_id",
-        label.alias("label"),
-        F.coalesce(prefixed_type(raw_label), normalise_entity_type(_pick(records, "entity_type", "type"))).alias("entity_type"),
-        clean_description(summary, label).alias("summary"),
+    # staged, so that no expression is spelled out twice in the plan
+    picked = records.select(
+        "case_id", "source_ord", "row_ord",
+        _pick(records, "entity_name", "id", "node_id", "label", "name").alias("node_id"),
+        _pick(records, "label", "entity_name", "name").alias("_label"),
+        _pick(records, "entity_type", "type").alias("_type"),
+        usable_summary(field(records, "description"), field(records, "summary"), field(records, "content")).alias("_summary"),
+    ).filter(F.col("node_id").isNotNull())
+    labelled = picked.withColumn("_label", F.coalesce("_label", "node_id")).withColumn("label", without_type(F.col("_label")))
+    return labelled.select(
+        "case_id", "source_ord", "row_ord", "node_id", "label",
+        F.coalesce(prefixed_type(F.col("_label")), normalise_entity_type(F.col("_type"))).alias("entity_type"),
+        clean_description(F.col("_summary"), F.col("label")).alias("summary"),
     )
 
 
@@ -54,8 +59,8 @@ def consolidate_nodes(records: DataFrame) -> DataFrame:
         node_records(records)
         .groupBy("case_id", "node_id")
         .agg(
-            F.min_by("label", F.when(F.col("label") != F.col("node_id"), ORD)).alias("_label"),
-            F.min_by("entity_type", ORD).alias("entity_type"),
+            F.min_by("label", F.when(F.col("label") != F.col("node_id"), seen_at())).alias("_label"),
+            F.min_by("entity_type", seen_at()).alias("entity_type"),
             F.max_by(
                 "summary",
                 F.when(
@@ -148,7 +153,7 @@ def pair_details(normalised: DataFrame) -> DataFrame:
     """Per directed pair: longest label, relation types in order seen, first wording, score and band."""
     pair = ["case_id", "src_id", "tgt_id"]
     per_type = normalised.groupBy(*pair, "relation_type").agg(
-        F.min(ORD).alias("seen"),
+        F.min(seen_at()).alias("seen"),
         F.max_by("label", F.struct(F.length("label"), -F.col("source_ord"), -F.col("row_ord"))).alias("label"),
         F.max(F.struct(F.length("label"), -F.col("source_ord"), -F.col("row_ord"))).alias("size"),
         *[_first(F.struct(c)).alias(c) for c in ("raw_phrase", "confidence_score", "confidence_band")],

@@ -134,3 +134,63 @@ all_nodes AS (
   FROM degrees d ANTI JOIN named n ON n.case_id = d.case_id AND n.node_id = d.node_id
   LEFT JOIN part ON 'P:' || p_partkey = d.node_id),
 nodes AS (SELECT a.*, coalesce(d.degree, 0) AS degree FROM all_nodes a LEFT JOIN degrees d ON a.case_id = d.case_id AND a.node_id = d.node_id)"""
+
+
+# --- documents, blocks, chunks -------------------------------------------------------------------
+
+def case_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents table as evidence documents of one case per source."""
+    labels = table(spark, sf, "labels")
+    return table(spark, sf, "documents").join(labels, "doc_id", "left").selectExpr(
+        "source as case_id", "'D' || doc_id as document_id", "doc_id || '.txt' as original_filename",
+        "source || '/' || doc_id || '.txt' as stored_file_path", "sha2(text, 256) as content_hash",
+        "'text/plain' as mime_type", "octet_length(text) as size_bytes", "lang as tags",
+        "case when quality is null then 'X4' else case when quality = 1 then 'A' else 'C' end || case when toxic = 1 then '3' else '1' end end as confidence_code",
+        "case when quality is null then 'queued' when quality = 1 then 'complete' else 'failed' end as ingestion_status",
+        "doc_id as created_ord", "text")
+
+
+CASE_DOCUMENTS_SQL = """case_documents AS (SELECT source AS case_id, 'D' || d.doc_id AS document_id, d.doc_id || '.txt' AS original_filename,
+ source || '/' || d.doc_id || '.txt' AS stored_file_path, sha256(text) AS content_hash, 'text/plain' AS mime_type, strlen(text) AS size_bytes, lang AS tags,
+ CASE WHEN quality IS NULL THEN 'X4' ELSE CASE WHEN quality = 1 THEN 'A' ELSE 'C' END || CASE WHEN toxic = 1 THEN '3' ELSE '1' END END AS confidence_code,
+ CASE WHEN quality IS NULL THEN 'queued' WHEN quality = 1 THEN 'complete' ELSE 'failed' END AS ingestion_status, d.doc_id AS created_ord, text, lang, d.doc_id
+ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def content_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of a document as a content block; the type follows the line number."""
+    lines = table(spark, sf, "documents").select(
+        F.col("source").alias("case_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
+    null = NONE
+    return lines.selectExpr(
+        "case_id", "document_id", "block_no", "case block_no % 5 when 0 then 'text' when 1 then 'table' when 2 then 'equation' when 3 then 'Image' else 'note' end as type",
+        f"case when block_no % 5 in (0, 2, 4) then line else {null} end as text",
+        f"case when block_no % 5 = 1 and block_no % 2 = 1 then line else {null} end as table_body",
+        f"case when block_no % 5 = 1 then 'table ' || line else {null} end as table_data",
+        f"case when block_no % 5 = 2 and block_no % 2 = 0 then 'x = ' || block_no else {null} end as latex",
+        f"case when block_no % 5 = 3 then case when block_no % 2 = 1 then '- Street map: ' || line else 'Abstract logo on a map' end else {null} end as vlm_description",
+        f"case when block_no % 5 = 3 then 'Play, 00:01:02:03, ' || line else {null} end as vlm_visible_text",
+        "array(0, 0, block_no * 10, 100) as bbox")
+
+
+CONTENT_BLOCKS_SQL = r"""block_lines AS (SELECT case_id, document_id, generate_subscripts(l, 1) - 1 AS block_no, unnest(l) AS line FROM (
+  SELECT source AS case_id, 'D' || doc_id AS document_id, string_split(text, chr(10)) AS l FROM documents)),
+labelled AS (SELECT *, list_filter(list_transform(regexp_split_to_array('Play, 00:01:02:03, ' || line, '[,\n]'), lambda x: trim(trim(trim(trim(x), '"'), '''')))
+  , lambda x: x <> '' AND lower(x) NOT IN ('none', 'n/a', 'null', 'play', 'pause', 'video') AND NOT regexp_full_match(x, '\d{2}:\d{2}:\d{2}:\d{2}')) AS labels FROM block_lines),
+block_texts AS (SELECT case_id, document_id, block_no, CASE block_no % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'equation' WHEN 3 THEN 'image' ELSE 'note' END AS type,
+  nullif(CASE block_no % 5 WHEN 0 THEN trim(line) WHEN 4 THEN trim(line)
+    WHEN 1 THEN coalesce(CASE WHEN block_no % 2 = 1 THEN nullif(trim(line), '') END, trim('table ' || line))
+    WHEN 2 THEN concat_ws(chr(10), CASE WHEN block_no % 2 = 0 THEN 'Equation: x = ' || block_no END, nullif(trim(line), ''))
+    ELSE concat_ws(chr(10), CASE WHEN len(labels) > 0 THEN 'Image labels: ' || array_to_string(list_filter(labels, lambda x, i: list_position(list_transform(labels, lambda y: lower(y)), lower(x)) = i), '; ') END,
+      CASE WHEN block_no % 2 = 1 THEN 'Visual depiction: ' || trim('Street map: ' || line, '-* ') END) END, '') AS body FROM labelled)"""
+
+
+def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from caseloom.operators.textprep import token_chunks
+
+    return token_chunks(case_documents(spark, sf).select("case_id", "document_id", "text"))
+
+
+DOCUMENT_CHUNKS_SQL = r"""doc_words AS (SELECT source AS case_id, 'D' || doc_id AS document_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents),
+chunks AS (SELECT case_id, document_id, document_id || '-' || i AS chunk_id, i AS chunk_order, len(w[i * 550 + 1:i * 550 + 600]) AS tokens, array_to_string(w[i * 550 + 1:i * 550 + 600], ' ') AS content
+ FROM (SELECT *, unnest(range(0, greatest(1, ceil((len(w) - 50) / 550.0)::BIGINT))) AS i FROM doc_words WHERE w[1] <> ''))"""
