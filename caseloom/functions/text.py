@@ -20,12 +20,9 @@ WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿœšž"
-UNWHITE_SPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
-ACCENTED = "aaaaaaceeeeiiiinoooooouuuuyyosz"
+ACCENTS = {
+    "a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "s": "š", "u": "ùúûü", "y": "ýÿ", "z": "ž",
+}
 
 
 def strip(c: Column) -> Column:
@@ -211,7 +208,9 @@ def descriptive_name(entity_type: Column, description: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case without Latin diacritics, as the search index compares words."""
-    return F.translate(F.lower(c), ACCENTED, UNACCENTED)
+    accented = "".join(ACCENTS.values())
+    plain = "".join(letter * len(marked) for letter, marked in ACCENTS.items())
+    return F.translate(F.lower(c), accented, plain)
 
 
 def rough_tokens(c: Column) -> Column:

@@ -194,3 +194,32 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 DOCUMENT_CHUNKS_SQL = r"""doc_words AS (SELECT source AS case_id, 'D' || doc_id AS document_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents),
 chunks AS (SELECT case_id, document_id, document_id || '-' || i AS chunk_id, i AS chunk_order, len(w[i * 550 + 1:i * 550 + 600]) AS tokens, array_to_string(w[i * 550 + 1:i * 550 + 600], ' ') AS content
  FROM (SELECT *, unnest(range(0, greatest(1, ceil((len(w) - 50) / 550.0)::BIGINT))) AS i FROM doc_words WHERE w[1] <> ''))"""
+
+
+def case_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as ingestion jobs: the user is the document worked on."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("case_id"))
+    return table(spark, sf, "events").join(docs, F.col("user_id") == F.col("doc_id")).selectExpr(
+        "case_id", "'D' || doc_id as document_id", "event_id as job_id",
+        "case event_type when 'purchase' then 'complete' when 'error' then 'failed' when 'signup' then 'queued' when 'view' then 'parsing' else 'indexing' end as status",
+        "case when event_id % 3 = 0 then 'multimodal' else 'text_first' end as processing_mode",
+        "case event_id % 4 when 0 then 'high' when 1 then 'low' else 'normal' end as queue_priority",
+        "ts as started_at", "case when event_type = 'purchase' and event_id % 2 = 0 then ts + interval 1 hour end as finished_at")
+
+
+CASE_JOBS_SQL = """case_jobs AS (SELECT source AS case_id, 'D' || doc_id AS document_id, event_id AS job_id,
+ CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' ELSE 'indexing' END AS status,
+ CASE WHEN event_id % 3 = 0 THEN 'multimodal' ELSE 'text_first' END AS processing_mode,
+ CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'normal' END AS queue_priority, ts AS started_at,
+ CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN ts + INTERVAL 1 HOUR END AS finished_at
+ FROM events JOIN documents ON user_id = doc_id)"""
+
+
+def cases(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("case_id")).agg(F.max("doc_id").alias("m")).selectExpr(
+        "case_id", "'Case ' || case_id as name", "lower(case_id) as case_slug", "case when m % 2 = 0 then 'open' else 'closed' end as status",
+        "timestamp '2023-06-01' + make_interval(0, 0, 0, cast(m as int)) as updated_at")
+
+
+CASES_SQL = """cases AS (SELECT source AS case_id, 'Case ' || source AS name, lower(source) AS case_slug, CASE WHEN max(doc_id) % 2 = 0 THEN 'open' ELSE 'closed' END AS status,
+ TIMESTAMP '2023-06-01' + INTERVAL 1 DAY * max(doc_id) AS updated_at FROM documents GROUP BY source)"""
