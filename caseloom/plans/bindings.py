@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caseloom.operators.consolidate import edge_id, implicit_nodes, with_degree
+from caseloom.session import cut_lineage
 
 NONE = "cast(null as string)"
 
@@ -97,8 +98,9 @@ def trade_nodes(spark: SparkSession, sf: str, edges: DataFrame | None = None) ->
 
 
 def trade_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    edges = trade_edges(spark, sf)
-    return trade_nodes(spark, sf, edges), edges
+    """Nodes and edges, written out once: every view reads them several times."""
+    edges = cut_lineage(trade_edges(spark, sf))
+    return cut_lineage(trade_nodes(spark, sf, edges)), edges
 
 
 TRADE_EDGES_SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -39,9 +40,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and continue from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the checkpoint folder and continue from that.
+
+    A Parquet table is written in one pass, survives lost executors, and later steps read only the columns
+    and rows they need. The folder is cleared by whoever clears checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/caseloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
