@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Patterns, lengths and word lists the results depend on.
@@ -25,6 +27,11 @@ ACCENTS = {
 }
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once per row, however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Trims all Unicode white space; much cheaper per row than a pattern."""
     return F.btrim(c, F.lit(WHITE_SPACE))
@@ -223,5 +230,12 @@ def rough_tokens(c: Column) -> Column:
 def distinct_ignoring_case(values: Column) -> Column:
     """Array without blanks and without later repeats of the same lower-case text."""
     cleaned = F.filter(F.transform(values, strip), lambda v: v != "")
-    lowered = F.transform(cleaned, F.lower)
-    return F.filter(cleaned, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    keyed = F.transform(cleaned, lambda v: F.struct(F.lower(v).alias("key"), v.alias("text")))
+
+    def firsts(pairs: Column) -> Column:
+        return bind(
+            F.transform(pairs, lambda p: p["key"]),
+            lambda keys: F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1), lambda p: p["text"]),
+        )
+
+    return bind(keyed, firsts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from caseloom.functions.text import strip
+from caseloom.functions.text import bind, strip
 
 # The controlled types and the words that lead to them.
 ENTITY_TYPES = ["person", "organization", "object", "location", "event"]
@@ -125,11 +125,13 @@ def confidence_band(score: Column) -> Column:
 
 def _relation_tokens(text: Column) -> Column:
     """The whole phrase joined by underscores, then its single words where they differ from it."""
-    words = F.filter(F.split(strip(F.translate(F.lower(text), ",|;", "   ")), r"(?U)\s+"), lambda w: w != "")
-    phrase = F.array_join(words, "_")
-    return F.when(F.size(words) > 0, F.concat(F.array(phrase), F.filter(words, lambda w: w != phrase))).otherwise(
-        F.array().cast("array<string>")
-    )
+    words = F.filter(F.split(F.translate(F.lower(text), ",|;", "   "), r"(?U)\s+"), lambda w: w != "")
+
+    def listed(w: Column) -> Column:
+        phrase = F.array_join(w, "_")
+        return F.when(F.size(w) == 1, w).when(F.size(w) > 1, F.concat(F.array(phrase), w)).otherwise(w)
+
+    return bind(words, listed)
 
 
 def normalise_relation(texts: Column, words: dict[str, str] | None = None) -> Column:
@@ -138,35 +140,36 @@ def normalise_relation(texts: Column, words: dict[str, str] | None = None) -> Co
     The type named most often wins, the earlier one on a tie. The word list is a parameter.
     """
     lookup = _literal_map(words or relation_vocabulary())
-    seen = F.filter(F.transform(texts, strip), lambda t: t.isNotNull() & (t != ""))
-    tokens = F.flatten(F.transform(seen, _relation_tokens))
-    matched = F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, t)), lambda m: m.isNotNull())
 
     def winner(found: Column) -> Column:
         counted = F.transform(
             F.array_distinct(found), lambda d: F.struct(F.size(F.filter(found, lambda m: m == d)).alias("n"), d.alias("t"))
         )
-        most = F.array_max(F.transform(counted, lambda s: s["n"]))
-        return F.filter(counted, lambda s: s["n"] == most)[0]
-
-    # one-element transforms name the intermediate results instead of repeating the expressions
-    best = F.transform(F.array(matched), lambda m: F.when(F.size(m) > 0, winner(m)))[0]
-
-    def answer(b: Column) -> Column:
-        score = (
-            F.when(b["n"] > 1, SCORES["repeated"])
-            .when(b["n"] == 1, SCORES["single"])
-            .when(F.size(seen) > 0, SCORES["unmatched"])
-            .otherwise(SCORES["empty"])
-        )
-        return F.struct(
-            F.coalesce(b["t"], F.lit(FALLBACK_RELATION)).alias("relation_type"),
-            F.try_element_at(seen, F.lit(1)).alias("raw_phrase"),
-            score.alias("confidence_score"),
-            confidence_band(score).alias("confidence_band"),
-        )
-
-    return F.transform(F.array(best), answer)[0]
+        # the greatest count; among equals the first one, which the reduction meets first
+        start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("t"))
+        return F.aggregate(counted, start, lambda best, s: F.when(s["n"] > best["n"], s).otherwise(best))
+
+    def answer(seen: Column) -> Column:
+        tokens = F.flatten(F.transform(seen, _relation_tokens))
+        matched = F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, t)), lambda m: m.isNotNull())
+
+        def typed(b: Column) -> Column:
+            score = (
+                F.when(b["n"] > 1, SCORES["repeated"])
+                .when(b["n"] == 1, SCORES["single"])
+                .when(F.size(seen) > 0, SCORES["unmatched"])
+                .otherwise(SCORES["empty"])
+            )
+            return F.struct(
+                F.coalesce(b["t"], F.lit(FALLBACK_RELATION)).alias("relation_type"),
+                F.try_element_at(seen, F.lit(1)).alias("raw_phrase"),
+                score.alias("confidence_score"),
+                confidence_band(score).alias("confidence_band"),
+            )
+
+        return bind(bind(matched, winner), typed)
+
+    return bind(F.filter(F.transform(texts, strip), lambda t: t.isNotNull() & (t != "")), answer)
 
 
 def _in_groups(c: Column, groups: dict[str, str]) -> Column:

@@ -42,10 +42,12 @@ def containing_pairs(texts: DataFrame, spans: DataFrame, keys: list[str]) -> Dat
 
 def _grams(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
     if n > 0:
-        words = F.split("text", " ")
-        places = F.sequence(F.lit(1), F.size(words) - n + 1)
-        grams = F.when(F.size(words) >= n, F.transform(places, lambda i: _word_anchor(words, i, F.lit(n))))
-    else:
-        places = F.sequence(F.lit(1), F.length("text") + n + 1)
-        grams = F.when(F.length("text") >= -n, F.transform(places, lambda i: F.xxhash64(F.substr("text", i, F.lit(-n)))))
-    return texts.select(*keys, "text_id", F.explode(F.array_distinct(grams)).alias("anchor"))
+        # the words are a column of their own: split inside the lambda would run once per place
+        split = texts.select(*keys, "text_id", F.split("text", " ").alias("words")).filter(F.size("words") >= n)
+        places = F.sequence(F.lit(1), F.size("words") - n + 1)
+        grams = F.transform(places, lambda i: _word_anchor(F.col("words"), i, F.lit(n)))
+        return split.select(*keys, "text_id", F.explode(F.array_distinct(grams)).alias("anchor"))
+    long_enough = texts.filter(F.length("text") >= -n)
+    places = F.sequence(F.lit(1), F.length("text") + n + 1)
+    grams = F.transform(places, lambda i: F.xxhash64(F.substr("text", i, F.lit(-n))))
+    return long_enough.select(*keys, "text_id", F.explode(F.array_distinct(grams)).alias("anchor"))

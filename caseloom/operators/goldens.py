@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseloom.functions.text import squeeze
 from caseloom.functions.vocabulary import ENTITY_TYPES
 from caseloom.operators.containment import containing_pairs
-from caseloom.session import number_rows
+from caseloom.session import cut_lineage, number_rows
 
 # Fixed values of the golden sets.
 ANALYSIS_TYPES = ["link", "temporal", "flow", "factual_verification", "retrieval_honesty"]
@@ -106,7 +106,8 @@ def spans_in_sources(sources: DataFrame, spans: DataFrame, keys: list[str], allo
 
     With allow_ellipses a span may leave out passages marked by "...": its parts must follow each other.
     """
-    texts = sources.select(*keys, "text_id", canonical_text(F.col("text")).alias("text"))
+    # read twice below, once for its words and once to decide, so the texts are folded only once
+    texts = cut_lineage(sources.select(*keys, "text_id", canonical_text(F.col("text")).alias("text")))
     plain = spans.select(*keys, "span_id", canonical_text(F.col("span")).alias("span"))
     whole = containing_pairs(texts, plain, keys)
     if not allow_ellipses:

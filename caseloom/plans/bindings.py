@@ -177,7 +177,7 @@ def content_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 CONTENT_BLOCKS_SQL = r"""block_lines AS (SELECT case_id, document_id, generate_subscripts(l, 1) - 1 AS block_no, unnest(l) AS line FROM (
   SELECT source AS case_id, 'D' || doc_id AS document_id, string_split(text, chr(10)) AS l FROM documents)),
-labelled AS (SELECT *, list_filter(list_transform(regexp_split_to_array('Play, 00:01:02:03, ' || line, '[,\n]'), lambda x: trim(trim(trim(trim(x), '"'), '''')))
+labelled AS (SELECT *, list_filter(list_transform(regexp_split_to_array(trim('Play, 00:01:02:03, ' || line, '-* '), '[,\n]'), lambda x: trim(trim(trim(trim(x), '"'), '''')))
   , lambda x: x <> '' AND lower(x) NOT IN ('none', 'n/a', 'null', 'play', 'pause', 'video') AND NOT regexp_full_match(x, '\d{2}:\d{2}:\d{2}:\d{2}')) AS labels FROM block_lines),
 block_texts AS (SELECT case_id, document_id, block_no, CASE block_no % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'equation' WHEN 3 THEN 'image' ELSE 'note' END AS type,
   nullif(CASE block_no % 5 WHEN 0 THEN trim(line) WHEN 4 THEN trim(line)

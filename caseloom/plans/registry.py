@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graph_queries", "text_queries", "document_queries", "search_queries", "retrieval_queries", "resolution_queries", "evaluation_queries", "flow_queries"]
+MODULES = ["graph_queries", "text_queries", "document_queries", "search_queries", "retrieval_queries", "resolution_queries", "evaluation_queries", "flow_queries", "evidence_queries"]
 
 
 def _collect(name: str) -> dict:
