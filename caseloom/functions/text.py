@@ -91,25 +91,25 @@ def source_tokens(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), *[F.coalesce(p, none) for p in pieces]))
 
 
-def _valid_date(year: Column, month: Column, day: Column) -> Column:
-    iso = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.try_to_date(iso, "yyyy-MM-dd")
-
-
 def first_date(c: Column) -> Column:
     """First valid date in the text as yyyy-mm-dd; only the first match of each pattern counts."""
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(c, pattern, group)
+    def month_first(found: Column) -> Column:
+        def padded(parts: Column) -> Column:
+            year = parts[2].try_cast("int")
+            pivoted = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
+            iso = F.concat_ws("-", F.lpad(pivoted.cast("string"), 4, "0"), F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0"))
+            return F.try_to_date(iso, "yyyy-MM-dd")
+
+        return F.when(found != "", bind(F.split(found, "[/-]"), padded))
 
-    year = F.try_to_number(part(MONTH_FIRST, 3), F.lit("9999")).cast("int")
-    pivoted = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    # coalesce stops at the first hit, so later patterns cost nothing where an earlier one matched
     found = F.coalesce(
-        _valid_date(part(ISO_DASH, 1), part(ISO_DASH, 2), part(ISO_DASH, 3)),
-        _valid_date(part(ISO_SLASH, 1), part(ISO_SLASH, 2), part(ISO_SLASH, 3)),
-        _valid_date(pivoted.cast("string"), part(MONTH_FIRST, 1), part(MONTH_FIRST, 2)),
+        F.try_to_date(F.nullif(F.regexp_extract(c, ISO_DASH, 0), F.lit("")), "yyyy-MM-dd"),
+        F.try_to_date(F.nullif(F.regexp_extract(c, ISO_SLASH, 0), F.lit("")), "yyyy/MM/dd"),
+        bind(F.regexp_extract(c, MONTH_FIRST, 0), month_first),
     )
-    return found.cast("string")
+    return F.when(c.rlike(r"\d[-/]\d"), found.cast("string"))
 
 
 def clean_description(description: Column, label: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from caseloom.functions.text import bind, strip
+from caseloom.functions.text import WHITE_SPACE, bind, strip
 
 # The controlled types and the words that lead to them.
 ENTITY_TYPES = ["person", "organization", "object", "location", "event"]
@@ -125,7 +125,8 @@ def confidence_band(score: Column) -> Column:
 
 def _relation_tokens(text: Column) -> Column:
     """The whole phrase joined by underscores, then its single words where they differ from it."""
-    words = F.filter(F.split(F.translate(F.lower(text), ",|;", "   "), r"(?U)\s+"), lambda w: w != "")
+    gaps = ",|;" + WHITE_SPACE
+    words = F.filter(F.split(F.translate(F.lower(text), gaps, " " * len(gaps)), " "), lambda w: w != "")
 
     def listed(w: Column) -> Column:
         phrase = F.array_join(w, "_")
@@ -139,7 +140,8 @@ def normalise_relation(texts: Column, words: dict[str, str] | None = None) -> Co
 
     The type named most often wins, the earlier one on a tie. The word list is a parameter.
     """
-    lookup = _literal_map(words or relation_vocabulary())
+    vocabulary = words or relation_vocabulary()
+    lookup, known = _literal_map(vocabulary), list(vocabulary)
 
     def winner(found: Column) -> Column:
         counted = F.transform(
@@ -151,7 +153,8 @@ def normalise_relation(texts: Column, words: dict[str, str] | None = None) -> Co
 
     def answer(seen: Column) -> Column:
         tokens = F.flatten(F.transform(seen, _relation_tokens))
-        matched = F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, t)), lambda m: m.isNotNull())
+        # the set test is a hash lookup, the map is only searched for hits
+        matched = F.transform(F.filter(tokens, lambda t: t.isin(known)), lambda t: F.try_element_at(lookup, t))
 
         def typed(b: Column) -> Column:
             score = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.operators import consolidate, evidence as ev, traverse, views
+from caseloom.session import spread
 from caseloom.plans.bindings import (
     NONE, TRADE_EDGES_SQL, TRADE_GRAPH_SQL, _places, table, trade_edges, trade_graph, trade_node_records,
 )
@@ -67,7 +68,7 @@ def node_merge(spark, sf):
 def node_pieces_unique(spark, sf):
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = (
-        table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
+        spread(table(spark, sf, "lineitem")).join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .selectExpr(
             "case_id", "l_linenumber % 2 as source_ord", "l_orderkey * 10 + l_linenumber as row_ord", "'P:' || l_partkey as entity_name",
@@ -85,7 +86,7 @@ def line_edge_records(spark, sf):
     """Raw relation records of part and supplier, one per order line, with wording that needs normalising."""
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
     return (
-        table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
+        spread(table(spark, sf, "lineitem")).join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
         .selectExpr(
             "case_id", "0 as source_ord",
             "l_orderkey * 1000000 + l_linenumber * 100000 + cast(l_quantity as long) * 1000 + cast(round(l_extendedprice) as long) % 1000 as row_ord",
