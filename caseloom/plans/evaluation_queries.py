@@ -199,7 +199,8 @@ def golden_dataset(spark, sf):
     return gd.dataset_errors(golden, gd.schedule(golden_spec(spark, sf).filter("analysis_type <> 'error'")))
 
 
-NORMAL = r'''trim(regexp_replace(translate(nfc_normalize({}), '“”‘’–—', '""''''--'), '\s+', ' ', 'g'))'''
+PLAIN_MARKS = "".join(gd.PUNCTUATION.values()).replace("'", "''")
+NORMAL = "trim(regexp_replace(translate(nfc_normalize({}), '" + "".join(gd.PUNCTUATION) + "', '" + PLAIN_MARKS + r"'), '\s+', ' ', 'g'))"
 
 
 @query("span_in_source", f"""WITH d AS (SELECT 'D' || doc_id AS text_id, {NORMAL.format('text')} AS t FROM documents), s AS (SELECT item_id AS span_id, {NORMAL.format('text')} AS s FROM benchmark)
