@@ -39,7 +39,7 @@ def trade_node_records(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "region").selectExpr("'case-' || r_regionkey as case_id", "'R:' || r_regionkey as entity_name",
                                               "r_name as label", "'region' as entity_type", f"{NONE} as description",
                                               "cast(r_regionkey as long) as row_ord"),
-        spread(table(spark, sf, "orders")).join(cust.select("c_custkey", "case_id"), F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+        spread(table(spark, sf, "orders").join(cust.select("c_custkey", "case_id"), F.col("o_custkey") == F.col("c_custkey"))).selectExpr(
             "case_id", "'O:' || o_orderkey as entity_name", "'Order ' || o_orderkey as label", "'transaction' as entity_type",
             "o_orderpriority || ' order' as description", "o_orderkey as row_ord"),
     ]
@@ -143,7 +143,7 @@ nodes AS (SELECT a.*, coalesce(d.degree, 0) AS degree FROM all_nodes a LEFT JOIN
 def case_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents table as evidence documents of one case per source."""
     labels = table(spark, sf, "labels")
-    return spread(table(spark, sf, "documents")).join(labels, "doc_id", "left").selectExpr(
+    return spread(table(spark, sf, "documents").join(labels, "doc_id", "left")).selectExpr(
         "source as case_id", "'D' || doc_id as document_id", "doc_id || '.txt' as original_filename",
         "source || '/' || doc_id || '.txt' as stored_file_path", "sha2(text, 256) as content_hash",
         "'text/plain' as mime_type", "octet_length(text) as size_bytes", "lang as tags",

@@ -68,8 +68,8 @@ def node_merge(spark, sf):
 def node_pieces_unique(spark, sf):
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = (
-        spread(table(spark, sf, "lineitem")).join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        spread(table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
+               .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")))
         .selectExpr(
             "case_id", "l_linenumber % 2 as source_ord", "l_orderkey * 10 + l_linenumber as row_ord", "'P:' || l_partkey as entity_name",
             "case when l_linenumber = 1 then null else p_name end as label",
@@ -86,7 +86,7 @@ def line_edge_records(spark, sf):
     """Raw relation records of part and supplier, one per order line, with wording that needs normalising."""
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
     return (
-        spread(table(spark, sf, "lineitem")).join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
+        spread(table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey")))
         .selectExpr(
             "case_id", "0 as source_ord",
             "l_orderkey * 1000000 + l_linenumber * 100000 + cast(l_quantity as long) * 1000 + cast(round(l_extendedprice) as long) % 1000 as row_ord",
@@ -378,7 +378,7 @@ def view_degrees(spark, sf):
 def line_evidence(spark, sf):
     """Order lines as evidence of supply edges, pairs and customers' orders."""
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "case_id")
-    lines = table(spark, sf, "lineitem").join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = spread(table(spark, sf, "lineitem").join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
     facts = ["'orders/' || l_orderkey || '.txt' as file_path", "'line-' || l_orderkey || '-' || l_linenumber as reference_id",
              "'D:' || l_orderkey as document_id", "'B2' as confidence_code"]
     src, tgt = "'P:' || l_partkey", "'S:' || l_suppkey"
