@@ -2,24 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caseloom.llm import fingerprints, quality
+from caseloom.llm import fingerprints, language_id, near_dedup, packing, pii, quality, secrets, sentencepiece, substring_dedup, toxicity
+
+#: Folder of the public tokenizer files; None takes that of the installed package.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def fold(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.deduplicated(documents(spark, sf))
+
+
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal(documents(spark, sf).select("doc_id", "text")).drop("text")
+
+
+def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf)).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf))
+
+
 def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf))
 
 
+def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of every whole text, a digest of their ids, and whether decoding gives the text back."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = sentencepiece.decode(sentencepiece.encode(documents(spark, sf).select("doc_id", "text"), path), path)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, fold(5) != 0)
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(documents(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (op6_fingerprints, op10_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_substring_dedup, op3_pii, op4_near_dedup, op5_secrets, op6_fingerprints, op7_sentencepiece, op8_toxicity, op9_packing, op10_quality,
+)}
 
 
 def _quality_sql() -> str:
