@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney character models: length-normalised log-likelihood of toxic against ordinary text."""
+"""Toxicity by class-conditional Kneser-Ney models over the characters of words: length-normalised likelihood of toxic against ordinary text."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseloom.session import cut_lineage
 
 #: Characters of a gram; each takes 12 bits of a long, so a suffix is a mask and a context is a shift.
-ORDER = 5
+ORDER = 4
 BITS = 12
 DISCOUNT = 0.75
+#: Nats by which toxic must outweigh ordinary before a word counts; below it, chance differences of long texts would add up.
+WORD_EVIDENCE = 4.0
 #: Slots of the tables every task holds, 4 bytes each; both are primes. Grams that share a slot share a mean weighted by count.
 GRAM_SLOTS = 4_194_301
 CONTEXT_SLOTS = 1_048_573
@@ -85,9 +87,10 @@ def _count(batches):
 def smoothed(counts: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
     """From gram counts per class: (gram, llr, n) of seen grams and (context, llr, n) for unseen grams after a context.
 
-    p_class(x | context) = (max(c - D, 0) + D * kinds(context) * q(x | shorter context)) / c(context), with q the Kneser-Ney
-    model of both classes together, built on numbers of different left neighbours. Where neither class saw the gram,
-    q is the same in both and the ratio is that of the two backoff weights.
+    p_class(x | context) = (max(c - D, 0) + D * kinds(context) * p(x | context)) / c(context), where p is the Kneser-Ney model
+    of both classes together: the same formula on the summed counts, backing off to numbers of different left
+    neighbours. So what is rare in one class leans on shared counts, and where neither class saw the gram, p is the same
+    in both and the ratio is that of the two backoff weights.
     """
     mask = lambda n: (1 << (BITS * n)) - 1
     context = lambda c: F.shiftright(c, BITS)
@@ -106,11 +109,13 @@ def smoothed(counts: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame,
             .select("g", ((F.col("n") - discount + discount * F.col("kinds") * F.col("q")) / F.col("all")).alias("q"))
         )
     rows = counts.withColumn("h", context(F.col("gram"))).withColumn("g", F.col("gram").bitwiseAND(F.lit(mask(ORDER - 1))))
-    contexts = rows.groupBy("h").agg(*[f for c in ("c1", "c0") for f in (F.sum(c).alias(f"{c}_all"), F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_kinds"))])
+    contexts = rows.groupBy("h").agg(*[f for c in ("c1", "c0") for f in (F.sum(c).alias(f"{c}_all"), F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_kinds"))], F.count(F.lit(1)).alias("all_kinds"))
     for c in ("c1", "c0"):
         contexts = contexts.withColumn(f"{c}_off", F.when(F.col(f"{c}_all") > 0, discount * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(1.0))
-    p = lambda c: F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - discount, F.lit(0)) / F.col(f"{c}_all")).otherwise(0.0) + F.col(f"{c}_off") * F.col("q")
-    seen = rows.join(contexts, "h").join(shared, "g").select("gram", F.log(p("c1") / p("c0")).alias("llr"), (F.col("c1") + F.col("c0")).alias("n"))
+    both, kinds = F.col("c1") + F.col("c0"), F.col("all_kinds")
+    p = lambda c: F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - discount, F.lit(0)) / F.col(f"{c}_all")).otherwise(0.0) + F.col(f"{c}_off") * F.col("pooled")
+    pooled = (both - discount + discount * kinds * F.col("q")) / (F.col("c1_all") + F.col("c0_all"))
+    seen = rows.join(contexts, "h").join(shared, "g").withColumn("pooled", pooled).select("gram", F.log(p("c1") / p("c0")).alias("llr"), both.alias("n"))
     unseen = contexts.select(F.col("h").alias("gram"), F.log(F.col("c1_off") / F.col("c0_off")).alias("llr"), (F.col("c1_all") + F.col("c0_all")).alias("n"))
     return seen, unseen
 
@@ -131,16 +136,20 @@ class Model:
     offset: float = -30.0
 
     def ratios(self, texts: list[str]) -> np.ndarray:
-        """Mean log-likelihood ratio per character of each text; 0 for a text without characters."""
+        """Evidence of each text: its words' log-likelihood ratios above WORD_EVIDENCE, summed, over the root of its number of words."""
         out = np.zeros(len(texts))
         for a, b in _chunks(texts):
             grams, begins = grams_of(texts[a:b])
             value = self.grams[grams % GRAM_SLOTS]
             miss = np.flatnonzero(np.isnan(value))
             value[miss] = self.contexts[(grams[miss] >> BITS) % CONTEXT_SLOTS]
-            sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(value, copy=False), dtype=np.float64)])
-            size = np.diff(begins)
-            out[a:b] = (sums[begins[1:]] - sums[begins[:-1]]) / np.maximum(size, 1)
+            # every text ends in a blank, so words lie between grams that end in one
+            ends = np.flatnonzero((grams & ((1 << BITS) - 1)) == 32)
+            word = np.diff(np.cumsum(np.nan_to_num(value, copy=False), dtype=np.float64)[ends], prepend=0.0)
+            owner = np.searchsorted(begins, ends, side="right") - 1
+            n = b - a
+            found = np.bincount(owner, weights=np.maximum(word - WORD_EVIDENCE, 0), minlength=n)
+            out[a:b] = np.log1p(found / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1)))
         return out
 
 
@@ -177,20 +186,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).filter(train)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     rows = docs.select("doc_id", "text").join(marked, "doc_id")
-    # the texts the curve is fitted on, chosen by hash, at most CALIBRATION_ROWS
     counts = cut_lineage(rows.filter(~held).select("text", "toxic").mapInArrow(_count, "gram long, c1 long, c0 long").groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")))
     sums = counts.agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).first()
     if not sums.c1 or not sums.c0:
         return None
     seen, unseen = smoothed(counts)
     model = Model(slotted(seen, GRAM_SLOTS), slotted(unseen, CONTEXT_SLOTS))
+    # the texts the curve is fitted on, chosen by hash
     picked = marked.filter(held).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
     sample = ratio_rows(docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic"), model).select("ratio", "toxic").toArrow()
     y = sample.column("toxic").to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         model.slope, model.offset = logistic(sample.column("ratio").to_numpy(), y)
-    else:  # too few rows for a curve: a ratio of zero is even
-        model.slope, model.offset = 10.0, 0.0
+    else:  # too few rows for a curve
+        model.slope, model.offset = 10.0, -1.0
     return model
 
 
