@@ -30,13 +30,13 @@ def throw(cells: np.ndarray, owner: np.ndarray, limit: np.ndarray):
     Yields (dart number, owner, rank). The arrivals of a cell depend on the cell alone, so texts that share weight share darts.
     """
     rank = np.zeros(len(cells))
-    step = np.uint64(0)
+    arrival = cells
     while len(cells):
-        step += np.uint64(1)
-        drawn = mix(cells + step * GOLDEN)
+        arrival = arrival + GOLDEN
+        drawn = mix(arrival)
         rank = rank - np.log(((drawn >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
         alive = rank <= limit[owner]
-        cells, owner, rank = cells[alive], owner[alive], rank[alive]
+        cells, arrival, owner, rank = cells[alive], arrival[alive], owner[alive], rank[alive]
         yield mix(drawn[alive] ^ GOLDEN), owner, rank
 
 

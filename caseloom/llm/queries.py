@@ -111,4 +111,19 @@ def _quality_sql() -> str:
     from counts"""
 
 
-ORACLE = {"op10_quality": _quality_sql()}
+PASSAGES_SQL = rf"""
+    with base as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+    windows as (
+        select doc_id, i, array_to_string(words[i:i + {substring_dedup.WINDOW - 1}], ' ') as win
+        from (select doc_id, words, unnest(range(1, len(words) - {substring_dedup.WINDOW - 2})) as i from base)),
+    late as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by win) as first from windows) where first < doc_id),
+    covered as (select distinct doc_id, i + k as i from late, range({substring_dedup.WINDOW}) as r(k)),
+    kept as (
+        select w.doc_id, string_agg(w.word, ' ' order by w.i) as text, count(*) as n
+        from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from base) w
+        anti join covered c on w.doc_id = c.doc_id and w.i = c.i group by w.doc_id)
+    select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+    from base left join kept using (doc_id)"""
+
+
+ORACLE = {"op2_substring_dedup": PASSAGES_SQL, "op10_quality": _quality_sql()}
