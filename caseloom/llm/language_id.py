@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caseloom.llm.frames import carry, restore
 from caseloom.session import top_per_key
 
 ORDERS = (2, 3, 4)
@@ -103,18 +104,18 @@ def fit(docs: DataFrame, train: Column, rows: int = TRAIN_ROWS, landmarks: int =
     return Model(languages, (land.T @ dual).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every column of docs plus lang_pred and score, one row per input row, from whole texts.
+def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
+    """lang_pred and score beside the columns of docs (text only on demand), one row per input row, from whole texts.
 
     score is the winner's share of the positive parts. A null text or one without a letter is `und` with score 0;
-    so is every text when nothing could be learned.
+    so is every text when nothing could be learned. Columns of docs named like the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if t and m and LETTER.search(t)]
             for k in range(0, len(at), BLOCK):
@@ -125,15 +126,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 for i, b, s in zip(part, best, top):
                     names[i], scores[i] = m.languages[b], s
             kept = batch.select(fields)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*fields, "lang_pred", "score"])
 
     rest = docs.drop("lang_pred", "score")
-    fields = rest.columns
+    fields = [c for c in rest.columns if keep_text or c != "text"]
     schema = rest.select(*fields, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rest.withColumn("_text", F.col("text")).mapInArrow(label, schema)
+    return rest.mapInArrow(label, schema)
 
 
 def language_stage(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents with a recognised language; the labels of docs itself teach the model."""
-    kept = predict(docs, fit(docs, F.lit(True)))
-    return kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(docs.columns)
+    """Documents with a recognised language, columns as they are; the labels of docs itself teach the model."""
+    kept = predict(carry(docs), fit(docs, F.lit(True)), keep_text=True)
+    return restore(kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.llm.frames import carry, restore
 from caseloom.llm.spans import Span, digest, joined, overlaps
 from caseloom.llm.words import WORD
 
@@ -242,16 +243,17 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     return base, added
 
 
-def find_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """Base counts, digest of the base spans and all spans of every whole text, one row per input row; other columns pass.
+def find_personal(docs: DataFrame, field: Field | None = None, keep_text: bool = False) -> DataFrame:
+    """Base counts, digest of the base spans and all spans beside the columns of docs (text only on demand), one row per input row.
 
-    Null and empty texts have no spans. Base spans always stay; added ones never touch them.
+    Null and empty texts have no spans. Base spans always stay; added ones never touch them. Columns of docs named
+    like the results are replaced.
     """
     model = fit(docs) if field is None else field
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     rest = docs.drop(*own)
-    fields = rest.columns
+    fields = [c for c in rest.columns if keep_text or c != "text"]
 
     def scan(batches):
         for batch in batches:
@@ -262,7 +264,7 @@ def find_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 rows.append((*(kinds[k] for k in KINDS), digest(joined(base, KINDS)), joined(base + added, KINDS)))
             columns = list(zip(*rows)) or [()] * 6
             types = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*fields, *own])
+            yield pa.RecordBatch.from_arrays([*batch.select(fields).columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*fields, *own])
 
     schema = rest.select(*fields, *(F.lit(0).cast("long").alias(c) for c in own[:4]), *(F.lit("").alias(c) for c in own[4:])).schema
     return rest.mapInArrow(scan, schema)
@@ -283,13 +285,16 @@ def redact(text: str | None, spans: str) -> str | None:
 
 def personal_stage(docs: DataFrame) -> DataFrame:
     """Documents with personal data replaced and n_chars set to the new length; texts without any stay as they are."""
-    found = find_personal(docs)
+    rows = carry(docs)
+    found = find_personal(rows, fit(docs), keep_text=True)
 
     def replace(batches):
         for batch in batches:
-            texts = [redact(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            sizes = [len(t) if s else n for t, s, n in zip(texts, batch.column("spans").to_pylist(), batch.column("n_chars").to_pylist())]
+            spans = batch.column("spans").to_pylist()
+            texts = [redact(t, s) for t, s in zip(batch.column("text").to_pylist(), spans)]
+            sizes = [len(t) if s else n for t, s, n in zip(texts, spans, batch.column("n_chars").to_pylist())]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
-    return found.mapInArrow(replace, docs.schema)
+    names = rows.columns
+    return restore(found.mapInArrow(replace, rows.schema), docs)

@@ -38,7 +38,7 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.find_personal(documents(spark, sf).select("doc_id", "text")).drop("text")
+    return pii.find_personal(documents(spark, sf).select("doc_id", "text"))
 
 
 def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:

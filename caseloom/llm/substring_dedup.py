@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.llm.frames import carry, restore
 from caseloom.llm.hashing import run_hashes, word_hashes
 from caseloom.llm.words import words_of
 
@@ -257,6 +258,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
     """Documents without the words of repeated passages; a text that loses words is its kept words joined by blanks, others stay as they are."""
+    rows = carry(docs)
+    names = rows.columns
 
     def reduce(batches):
         for batch in batches:
@@ -266,6 +269,6 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
                     texts[i] = " ".join(kept_words(texts[i], windows)[0])
                     sizes[i] = len(texts[i])
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
-    return marked_windows(docs).mapInArrow(reduce, docs.schema)
+    return restore(marked_windows(rows).mapInArrow(reduce, rows.schema), docs)
