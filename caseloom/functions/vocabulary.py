@@ -17,36 +17,27 @@ LOCATED_IN PRESENT_AT OWNS INVESTED_IN CONTROLS USES_ASSET BENEFITS_FROM
 TRANSFERRED_TO SUPPLIED PAID RECEIVED_FROM MENTIONED_IN EXTRACTED_FROM EVIDENCE_FOR EVIDENCE_AGAINST
 """.split()
 TYPES_WITHOUT_OWN_WORD = ["PARTICIPATED_IN", "USED_IN", "RESIDENCE_AT", "LOCATED_AT", "ASSOCIATED_WITH"]
-EMPLOYMENT_ROLES = """employee staff officer director secretary treasurer president vice_president ceo cfo
-manager managing_director""".split()
-ROLES_WITH_AND_WITHOUT_OF = {
-    "REPRESENTS": "intermediary signatory nominee",
-    "OWNS": "shareholder stockholder",
-    "CONTROLS": "beneficial_owner",
-    "BENEFITS_FROM": "beneficiary",
-}
-TRANSFER_VERBS = "transfer sent wired moved remitted shipped delivered".split()
 RELATION_WORDS = {
-    "PARTICIPATED_IN": """communicated meeting talked discussed participated posted posted_by published reposted
-        shared retweeted reported reporting stated_by authored_by quoted travel traveled moved arrived departed""",
-    "USED_IN": """used utilized leveraged sent wired transferred shipped delivered transaction bought sold
-        purchased procured""",
+    "PARTICIPATED_IN": """communicated meeting talked discussed participated posted posted_by published reposted shared retweeted
+        reported reporting stated_by authored_by quoted travel traveled moved arrived departed""",
+    "USED_IN": """used utilized leveraged sent wired transferred shipped delivered transaction bought sold purchased
+        procured""",
     "OCCURRED_AT": "happened_at took_place_at",
     "RESIDENCE_AT": "resides lives_at",
     "LOCATED_AT": "located based at",
-    "ASSOCIATED_WITH": """associated related linked affiliated worked_with member part_of runs depicts depicted
-        shows references referenced mentions mentioned co_mentioned shows_position_of position_of involves
-        involved""",
+    "ASSOCIATED_WITH": """associated related linked affiliated worked_with member part_of runs depicts depicted shows references
+        referenced mentions mentioned co_mentioned shows_position_of position_of involves involved""",
     "WITHIN": "inside contained_in",
     "SAME_AS": "alias duplicate",
-    "POSSIBLE_SAME_AS": """probably_same likely_same maybe_same similar similar_to similar_company_as
-        probably_same_officer_as""",
+    "POSSIBLE_SAME_AS": """probably_same likely_same maybe_same similar similar_to similar_company_as probably_same_officer_as""",
     "ALIAS_OF": "also_known_as aka",
     "MEMBER_OF": "belongs_to affiliated_with joined",
-    "EMPLOYED_BY": "works_for works_at",
+    "EMPLOYED_BY": """employee_of staff_of officer_of director_of secretary_of treasurer_of president_of vice_president_of
+        ceo_of cfo_of manager_of managing_director_of works_for works_at""",
     "REPORTS_TO": "reporting_to subordinate_to answers_to",
     "SUPERVISES": "oversees manages leads chairman_of",
-    "REPRESENTS": "representative_of agent_of proxy_of attorney_of power_of_attorney",
+    "REPRESENTS": """intermediary intermediary_of signatory signatory_of nominee nominee_of representative_of agent_of
+        proxy_of attorney_of power_of_attorney""",
     "COMMUNICATED_WITH": "corresponded_with contacted emailed called messaged",
     "MET_WITH": "met meeting_with",
     "COLLABORATED_WITH": "cooperated_with partnered_with",
@@ -54,14 +45,16 @@ RELATION_WORDS = {
     "PERPETRATED": "committed carried_out executed",
     "TARGET_OF": "targeted_by victim_of",
     "WITNESS_OF": "witnessed observed saw",
-    "LOCATED_IN": """resides_in lives_in based_in headquartered_in registered_in registered_address
-        registered_office business_address mailing_address residential_address""",
+    "LOCATED_IN": """resides_in lives_in based_in headquartered_in registered_in registered_address registered_office
+        business_address mailing_address residential_address""",
     "PRESENT_AT": "seen_at observed_at attended",
-    "OWNS": "owned owner_of ownership member_of partner_of",
+    "OWNS": "member_of shareholder shareholder_of stockholder stockholder_of owned owner_of ownership partner_of",
     "INVESTED_IN": "investor_in funded financed",
-    "CONTROLS": "controlled controller_of controlling dominates dominant ultimate_beneficial_owner ubo",
+    "CONTROLS": """beneficial_owner beneficial_owner_of controlled controller_of controlling dominates dominant
+        ultimate_beneficial_owner ubo""",
     "USES_ASSET": "uses utilizes operates",
-    "BENEFITS_FROM": "receives_benefits_from profits_from gains_from",
+    "BENEFITS_FROM": "beneficiary beneficiary_of receives_benefits_from profits_from gains_from",
+    "TRANSFERRED_TO": "transfer_to sent_to wired_to moved_to remitted_to shipped_to delivered_to",
     "SUPPLIED": "supplier_of provider_of furnished",
     "PAID": "payment_to paid_to remitted",
     "RECEIVED_FROM": "receives_from got_from incoming_from",
@@ -94,16 +87,8 @@ BANDS = [(0.75, "high"), (0.55, "medium")]
 
 
 def relation_vocabulary() -> dict[str, str]:
-    """Word -> relation type, built from the types' own names, the role families and the word lists."""
-    words = {t.lower(): t for t in RELATION_TYPES if t not in TYPES_WITHOUT_OWN_WORD}
-    words.update({f"{role}_of": "EMPLOYED_BY" for role in EMPLOYMENT_ROLES})
-    for relation, roles in ROLES_WITH_AND_WITHOUT_OF.items():
-        for role in roles.split():
-            words[role] = words[f"{role}_of"] = relation
-    words.update({f"{verb}_to": "TRANSFERRED_TO" for verb in TRANSFER_VERBS})
-    for relation, listed in RELATION_WORDS.items():
-        words.update(dict.fromkeys(listed.split(), relation))
-    return words
+    """Word -> relation type: a type's own name, unless it has none, and the words listed for it."""
+    return {**{t.lower(): t for t in RELATION_TYPES if t not in TYPES_WITHOUT_OWN_WORD}, **_word_groups(RELATION_WORDS)}
 
 
 def _literal_map(mapping: dict[str, str]) -> Column:
