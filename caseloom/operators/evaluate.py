@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.functions.text import file_key, pick_text, strip
-from caseloom.operators.containment import containing_pairs
+from caseloom.functions.text import bind, file_key, pick_text, strip
 
 QUERY = "query_id"
 
@@ -25,18 +24,16 @@ def _keys(rows: DataFrame, path: str) -> DataFrame:
 
 def matched_keys(expected: DataFrame, returned: DataFrame) -> DataFrame:
     """Expected keys (query_id, key) that equal a returned key, contain one, or are part of one."""
-    same = expected.join(returned, [QUERY, "key"], "left_semi")
-    rest = expected.join(returned, [QUERY, "key"], "left_anti")
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        n = F.length("key")
+        starts = F.sequence(F.lit(1), n)
+        cut = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr("key", i, k))))
+        return df.select(QUERY, "key", F.explode(F.array_distinct(cut)).alias(name))
 
-    def as_texts(df: DataFrame) -> DataFrame:
-        return df.select(QUERY, F.col("key").alias("text_id"), F.col("key").alias("text"))
-
-    def as_spans(df: DataFrame) -> DataFrame:
-        return df.select(QUERY, F.col("key").alias("span_id"), F.col("key").alias("span"))
-
-    inside = containing_pairs(as_texts(returned), as_spans(rest), [QUERY]).select(QUERY, F.col("span_id").alias("key"))
-    around = containing_pairs(as_texts(rest), as_spans(returned), [QUERY]).select(QUERY, F.col("text_id").alias("key"))
-    return same.unionByName(inside).unionByName(around).distinct()
+    # a key has few characters, so all its parts can be listed; equality on (question, part) needs no candidates
+    inside = expected.join(parts(returned, "part").select(QUERY, F.col("part").alias("key")), [QUERY, "key"], "left_semi")
+    around = parts(expected, "part").join(returned.withColumnRenamed("key", "part"), [QUERY, "part"], "left_semi").select(QUERY, "key")
+    return inside.unionByName(around).distinct()
 
 
 def _count(rows: DataFrame, name: str) -> DataFrame:
@@ -67,19 +64,30 @@ def source_metrics(questions: DataFrame, expected: DataFrame, returned: DataFram
 def unit(vector: Column) -> Column:
     """The vector scaled to length one, zeros if it has no length."""
     wide = vector.cast("array<double>")
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
+    return bind(length, lambda norm: F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+#: A question's expected rows are spread over so many parts; its few retrieved rows go to each.
+PARTS = 32
+
+
+def met(expected: DataFrame, retrieved: DataFrame, *keys: str) -> DataFrame:
+    """Every expected row of a question with every retrieved one, without putting a question into one task."""
+    left = expected.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)))
+    right = retrieved.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return left.join(right, [QUERY, "_part"]).drop("_part")
+
+
 def entity_matches(questions: DataFrame, expected: DataFrame, retrieved: DataFrame, threshold: float = ENTITY_THRESHOLD) -> DataFrame:
     """Semantic and exact hits of entities; both sides are (query_id, key, vector)."""
     want = expected.select(QUERY, "key", unit(F.col("vector")).alias("v"))
     have = retrieved.select(QUERY, F.col("key").alias("found"), unit(F.col("vector")).alias("w"))
-    near = want.join(have, QUERY).select(QUERY, "key", "found", dot(F.col("v"), F.col("w")).alias("s")).filter(F.col("s") >= threshold)
+    near = met(want, have, "key").select(QUERY, "key", "found", dot(F.col("v"), F.col("w")).alias("s")).filter(F.col("s") >= threshold)
     recall, precision = near.select(QUERY, "key").distinct(), near.select(QUERY, "found").distinct()
     exact = expected.select(QUERY, "key").distinct().join(retrieved.select(QUERY, "key"), [QUERY, "key"], "left_semi")
     rows = _with_counts(questions, (expected, "expected_entity_count"), (retrieved, "retrieved_entity_count"), (recall, "matched_entity_count"),
@@ -97,7 +105,7 @@ def relation_matches(questions: DataFrame, expected: DataFrame, retrieved: DataF
     score = F.least(dot(F.col("vs"), F.col("ws")), dot(F.col("vt"), F.col("wt")))
     if undirected:
         score = F.greatest(score, F.least(dot(F.col("vs"), F.col("wt")), dot(F.col("vt"), F.col("ws"))))
-    near = want.join(have, QUERY).withColumn("score", score).filter(F.col("score") >= threshold)
+    near = met(want, have, "src", "tgt").withColumn("score", score).filter(F.col("score") >= threshold)
     recall, precision = near.select(QUERY, "src", "tgt").distinct(), near.select(QUERY, "s2", "t2").distinct()
     pairs = retrieved.select(QUERY, "src", "tgt")
     if undirected:
@@ -118,7 +126,7 @@ def connectivity_recall(questions: DataFrame, expected: DataFrame, retrieved_nod
     """
     ends = expected.select(QUERY, F.explode(F.array(
         F.struct(F.col("src").alias("key"), F.col("src_vector").alias("vector")), F.struct(F.col("tgt").alias("key"), F.col("tgt_vector").alias("vector")))).alias("e")).select(QUERY, "e.*").dropDuplicates([QUERY, "key"])
-    near = ends.select(QUERY, "key", unit(F.col("vector")).alias("v")).join(retrieved_nodes.select(QUERY, unit(F.col("vector")).alias("w")), QUERY)
+    near = met(ends.select(QUERY, "key", unit(F.col("vector")).alias("v")), retrieved_nodes.select(QUERY, unit(F.col("vector")).alias("w")), "key")
     present = near.filter(dot(F.col("v"), F.col("w")) >= threshold).select(QUERY, "key").distinct()
     covered = expected.select(QUERY, "src", "tgt").join(present.withColumnRenamed("key", "src"), [QUERY, "src"], "left_semi").join(
         present.withColumnRenamed("key", "tgt"), [QUERY, "tgt"], "left_semi")

@@ -126,9 +126,14 @@ def spans_in_sources(sources: DataFrame, spans: DataFrame, keys: list[str], allo
     return whole.unionByName(in_order).distinct()
 
 
+def seeded(seed: int) -> Column:
+    """A number from 0 to 2^32 - 1 that depends on the seed and the document id only."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "document_id").cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def sample_sources(documents: DataFrame, n: int, seed: int) -> DataFrame:
     """n documents in the order of a seeded hash of their id: the same seed gives the same sample."""
-    return documents.orderBy(F.xxhash64(F.lit(seed), "document_id"), "document_id").limit(n)
+    return documents.orderBy(seeded(seed), "document_id").limit(n)
 
 
 def sample_context(chunks: DataFrame, per_source: int, seed: int) -> DataFrame:
@@ -138,7 +143,7 @@ def sample_context(chunks: DataFrame, per_source: int, seed: int) -> DataFrame:
     """
     counts = chunks.groupBy("case_id", "document_id").agg(F.count(F.lit(1)).alias("n"))
     take = F.least(F.col("n"), F.lit(per_source))
-    started = counts.select("case_id", "document_id", take.alias("take"), F.pmod(F.xxhash64(F.lit(seed), "document_id"), F.col("n") - take + 1).alias("start"))
+    started = counts.select("case_id", "document_id", take.alias("take"), F.pmod(seeded(seed), F.col("n") - take + 1).alias("start"))
     return chunks.join(started, ["case_id", "document_id"]).filter(
         (F.col("chunk_order") >= F.col("start")) & (F.col("chunk_order") < F.col("start") + F.col("take"))).drop("take", "start")
 

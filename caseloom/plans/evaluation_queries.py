@@ -223,14 +223,20 @@ def span_with_gaps(spark, sf):
     return gd.spans_in_sources(texts, words.select(F.lit("corpus").alias("case_id"), F.col("item_id").alias("span_id"), gapped.alias("span")), ["case_id"], True)
 
 
-@query("context_sample")
+SEED = 20260521
+SEEDED_SQL = f"('0x' || substr(md5('{SEED}-' || document_id), 1, 8))::BIGINT"
+
+
+@query("context_sample", f"""WITH {CASE_DOCUMENTS_SQL}, {DOCUMENT_CHUNKS_SQL}, counts AS (SELECT case_id, document_id, count(*) AS n FROM chunks GROUP BY 1, 2),
+started AS (SELECT *, least(n, 2) AS take, {SEEDED_SQL} % (n - least(n, 2) + 1) AS start FROM counts)
+SELECT c.case_id, c.document_id, c.chunk_id FROM chunks c JOIN started s ON s.case_id = c.case_id AND s.document_id = c.document_id WHERE chunk_order >= start AND chunk_order < start + take""")
 def context_sample(spark, sf):
-    return gd.sample_context(document_chunks(spark, sf), 2, 20260521).select("case_id", "document_id", "chunk_id")
+    return gd.sample_context(document_chunks(spark, sf), 2, SEED).select("case_id", "document_id", "chunk_id")
 
 
-@query("source_sample")
+@query("source_sample", f"WITH {CASE_DOCUMENTS_SQL} SELECT case_id, document_id FROM case_documents ORDER BY {SEEDED_SQL}, document_id LIMIT 25")
 def source_sample(spark, sf):
-    return gd.sample_sources(case_documents(spark, sf).select("case_id", "document_id"), 25, 20260521)
+    return gd.sample_sources(case_documents(spark, sf).select("case_id", "document_id"), 25, SEED)
 
 
 @query("corpus_manifest", f"""WITH {CASE_DOCUMENTS_SQL} SELECT original_filename AS file_name, CASE WHEN lang = 'de' THEN 'added' WHEN lang = 'fr' THEN 'removed' ELSE 'changed' END AS change FROM case_documents WHERE lang IN ('de', 'fr') OR (lang = 'es' AND size_bytes > 1000)""")
