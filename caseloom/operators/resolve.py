@@ -60,7 +60,8 @@ def candidate_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Equal names are linked to their smallest id only (a star, not all pairs). Acronyms meet names by equality.
     Names one edit apart share the text left after deleting one character; as the names are distinct, a
-    text can only be shared by so many of them as one inserted character allows, however large the data.
+    text can only be shared by so many of them as one inserted character allows, however large the data. A number
+    is an identity, not a spelling: only names with the same numbers in them are compared, and digits are never deleted.
     """
     named = nodes.select(*NODE_KEY, F.lower("entity_type").alias("kind"), compared_name(F.col("label")).alias("name")).filter("name <> ''")
     names = cut_lineage(named.groupBy("case_id", "kind", "name").agg(F.min("node_id").alias("lead")))
@@ -71,13 +72,16 @@ def candidate_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     full = names.select(*group, "lead", "name", F.explode(_acronyms(F.col("name"))).alias("acronym"))
     by_acronym = full.join(short, [*group, "acronym"]).select(
         *group, "first_id", F.col("lead").alias("second_id"), "first_name", F.col("name").alias("second_name"), F.lit("acronym").alias("reason"))
-    size = F.length("name")
-    shortened = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substr("name", F.lit(1), i - 1), F.substr("name", i + 1)))
-    keys = names.select(*group, "lead", "name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), shortened), lambda t: F.xxhash64(t)))).alias("key"))
+    letters = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: ~F.substr("name", i, F.lit(1)).rlike("[0-9]"))
+    shortened = F.transform(letters, lambda i: F.concat(F.substr("name", F.lit(1), i - 1), F.substr("name", i + 1)))
+    numbers = F.regexp_extract_all("name", F.lit("[0-9]+"), F.lit(0))
+    spelt = names.select(*group, "lead", "name", numbers.alias("numbers"), F.explode(F.array_distinct(F.concat(F.array("name"), shortened))).alias("left"))
+    keys = spelt.select(*group, "lead", "name", F.xxhash64("numbers", "left").alias("key"))
     left = keys.select(*group, "key", F.col("lead").alias("first_id"), F.col("name").alias("first_name"))
     right = keys.select(*group, "key", F.col("lead").alias("second_id"), F.col("name").alias("second_name"))
+    same_numbers = F.regexp_extract_all("first_name", F.lit("[0-9]+"), F.lit(0)) == F.regexp_extract_all("second_name", F.lit("[0-9]+"), F.lit(0))
     near = left.join(right, [*group, "key"]).filter(
-        (F.col("first_name") < F.col("second_name")) & (F.levenshtein("first_name", "second_name", 1) == 1)
+        (F.col("first_name") < F.col("second_name")) & (F.levenshtein("first_name", "second_name", 1) == 1) & same_numbers
     ).select(*group, "first_id", "second_id", "first_name", "second_name", F.lit("one_edit").alias("reason"))
     pairs = same.unionByName(by_acronym).unionByName(near).groupBy(*group, "first_id", "second_id", "first_name", "second_name").agg(F.min("reason").alias("reason"))
     a, b = F.split("first_name", " "), F.split("second_name", " ")

@@ -11,6 +11,7 @@ from caseloom.plans.bindings import (
 from caseloom.session import cut_lineage
 
 QUERIES, ORACLE = {}, {}
+SMALL = ", ".join(f"'{w}'" for w in er.SMALL_WORDS)
 
 
 def query(name: str, sql: str | None = None):
@@ -39,10 +40,14 @@ def er_inventory(spark, sf):
 
 
 @query("er_candidates", rf"""WITH {TRADE_GRAPH_SQL}, compared AS (SELECT case_id, node_id, lower(entity_type) AS kind, array_to_string(regexp_extract_all(lower(label), '[\p{{L}}\p{{N}}]+'), ' ') AS name FROM nodes),
-names AS (SELECT case_id, kind, name, min(node_id) AS lead FROM compared GROUP BY ALL),
-pairs AS (SELECT case_id, kind, lead AS first_id, node_id AS second_id, name AS first_name, name AS second_name, 'same_name' AS reason FROM compared JOIN names USING (case_id, kind, name) WHERE node_id <> lead
+names AS (SELECT case_id, kind, name, min(node_id) AS lead FROM compared WHERE name <> '' GROUP BY ALL),
+initials AS (SELECT *, unnest(list_filter(list_distinct([array_to_string(list_transform(w, lambda x: x[1]), ''), array_to_string(list_transform(list_filter(w, lambda x: x NOT IN ({SMALL}))
+, lambda x: x[1]), '')]), lambda a: length(a) >= 2)) AS acronym FROM (SELECT *, string_split(name, ' ') AS w FROM names WHERE name LIKE '% %')),
+found AS (SELECT case_id, kind, lead AS first_id, node_id AS second_id, name AS first_name, name AS second_name, 'same_name' AS reason FROM compared JOIN names USING (case_id, kind, name) WHERE node_id <> lead
 UNION ALL SELECT a.case_id, a.kind, a.lead, b.lead, a.name, b.name, 'one_edit' FROM names a JOIN names b ON a.case_id = b.case_id AND a.kind = b.kind AND a.name < b.name AND abs(length(a.name) - length(b.name)) <= 1
- WHERE levenshtein(a.name, b.name) = 1),
+ WHERE levenshtein(a.name, b.name) = 1 AND regexp_extract_all(a.name, '[0-9]+') = regexp_extract_all(b.name, '[0-9]+')
+UNION ALL SELECT s.case_id, s.kind, s.lead, f.lead, s.name, f.name, 'acronym' FROM names s JOIN initials f ON s.case_id = f.case_id AND s.kind = f.kind AND s.name = f.acronym WHERE s.name NOT LIKE '% %'),
+pairs AS (SELECT case_id, kind, first_id, second_id, first_name, second_name, min(reason) AS reason FROM found GROUP BY ALL),
 links AS (SELECT case_id, src_id AS a, tgt_id AS b FROM edges UNION SELECT case_id, tgt_id, src_id FROM edges)
 SELECT case_id, kind, first_id, second_id, first_name, second_name, reason, round(1 - levenshtein(first_name, second_name) / greatest(length(first_name), length(second_name))::DOUBLE, 6) AS name_similarity,
 round(len(list_intersect(string_split(first_name, ' '), string_split(second_name, ' '))) / len(list_distinct(string_split(first_name, ' ') || string_split(second_name, ' ')))::DOUBLE, 6) AS token_overlap,
