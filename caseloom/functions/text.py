@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Patterns, lengths and word lists the results depend on.
@@ -148,7 +151,7 @@ def relation_type_text(record: dict[str, Column], content: Column) -> Column:
 
 def relation_label(description: Column, content: Column, relation: Column, src: Column, tgt: Column) -> Column:
     lines = F.filter(F.transform(F.split(content, r"\r\n|\n|\r"), strip), lambda l: l != "")
-    from_content = F.when(F.size(lines) >= 3, F.array_join(F.slice(lines, 3, 1_000_000), "\n")).when(
+    from_content = F.when(F.size(lines) >= 3, F.array_join(F.slice(lines, F.lit(3), F.size(lines)), "\n")).when(
         F.size(lines) > 0, F.element_at(lines, -1)
     )
     return F.coalesce(description, from_content, relation, F.concat(src, F.lit(" -> "), tgt))
@@ -179,19 +182,33 @@ def fact_value(c: Column) -> Column:
     return F.when(~F.lower(strip(text)).isin(NON_FACTS), text)
 
 
+FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.IGNORECASE | re.DOTALL)
+
+
+def _json_object(text: str | None) -> str | None:
+    """The first place in a fenced part, else in the text, where a whole JSON object can be read."""
+    decoder = json.JSONDecoder()
+    for part in [*FENCE.findall(text or ""), text or ""]:
+        at = part.find("{")
+        while at >= 0:
+            try:
+                return part[at:decoder.raw_decode(part, at)[1]]
+            except (ValueError, RecursionError):
+                at = part.find("{", at + 1)
+    return None
+
+
 def first_json_object(c: Column) -> Column:
-    """The JSON object in a text that may wrap it in prose or a fence; null if there is none."""
-    text = strip(c)
-    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    braced = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    inner = F.regexp_extract(text, r"(?s)(\{[^{}]*\})", 1)
+    """The JSON object in a text that may wrap it in prose or a fence; null if there is none.
+
+    Where an object ends is only known by reading it, which no column function reports, so this is an Arrow batch.
+    """
 
-    def valid(candidate: Column) -> Column:
-        body = strip(candidate)
-        is_object = body.startswith("{") & F.try_parse_json(body).isNotNull()
-        return F.when(is_object, body)
+    @F.pandas_udf("string")
+    def read(column: pd.Series) -> pd.Series:
+        return column.map(_json_object)
 
-    return F.coalesce(valid(text), valid(fenced), valid(braced), valid(inner))
+    return read(c)
 
 
 def descriptive_name(entity_type: Column, description: Column) -> Column:
@@ -209,7 +226,7 @@ def descriptive_name(entity_type: Column, description: Column) -> Column:
         return (name != "") & ~placeholder & ~F.lower(name).isin(DESCRIBED_TYPES)
 
     found = F.try_element_at(F.filter(F.transform(segments, tidy), useful), F.lit(1))
-    named = F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, 2, 1_000_000))
+    named = F.concat(F.upper(F.substring(found, 1, 1)), F.substr(found, F.lit(2)))
     return F.when(kind.isin(DESCRIBED_TYPES), named)
 
 

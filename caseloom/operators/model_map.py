@@ -14,6 +14,8 @@ from caseloom.functions.text import distinct_ignoring_case, first_json_object, s
 FIRST_WAIT, LONGEST_WAIT = 1.0, 30.0
 SECTIONS = ["primary_evidence_text", "entities_and_roles", "events_and_timeline", "movements_and_transfers", "source_and_reporting_context", "supporting_observations"]
 REPLY = "key string, reply string, attempts int, error string, latency_ms double"
+#: More items than an array can hold, so an item's order never runs into the next row's.
+ITEMS = 1 << 31
 EXTRACTION = "entities array<struct<name: string, type: string, description: string>>, relations array<struct<src: string, tgt: string, keywords: string, description: string>>"
 
 
@@ -68,10 +70,10 @@ def extraction_rows(replies: DataFrame, provenance: DataFrame) -> tuple[DataFram
     parsed = replies.select("key", F.from_json(first_json_object(F.col("reply")), EXTRACTION).alias("p")).join(provenance, "key")
     where = ["case_id", "source_id", "document_id"]
     nodes = parsed.select(*where, "row_ord", F.posexplode("p.entities").alias("pos", "e")).select(
-        *where, F.lit(0).alias("source_ord"), (F.col("row_ord") * 1000 + F.col("pos")).alias("row_ord"),
+        *where, F.lit(0).alias("source_ord"), (F.col("row_ord").cast("long") * ITEMS + F.col("pos")).alias("row_ord"),
         F.col("e.name").alias("entity_name"), F.col("e.type").alias("entity_type"), F.col("e.description").alias("description"))
     edges = parsed.select(*where, "row_ord", F.posexplode("p.relations").alias("pos", "r")).select(
-        *where, F.lit(0).alias("source_ord"), (F.col("row_ord") * 1000 + F.col("pos")).alias("row_ord"),
+        *where, F.lit(0).alias("source_ord"), (F.col("row_ord").cast("long") * ITEMS + F.col("pos")).alias("row_ord"),
         F.col("r.src").alias("src_id"), F.col("r.tgt").alias("tgt_id"), F.col("r.keywords").alias("keywords"), F.col("r.description").alias("description"))
     return nodes, edges
 

@@ -2,67 +2,47 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.text import LIST_SEPARATOR, clip, pick_text, strip
 from caseloom.functions.vectors import TopK, stack, unit_rows
-from caseloom.session import top_per_key
+from caseloom.session import number_rows, top_per_key
 
 # Thresholds and limits of retrieval.
 THRESHOLD, NAIVE_THRESHOLD, TOP_K = 0.45, 0.20, 10
 EVAL_TOP_K, MAX_TOP_K = 5, 100
 CHUNK_SNIPPET = 480
 
-BROADCAST_QUERIES = 2048
+#: Queries and vectors that meet in one task.
 BLOCK_QUERIES, SHARD_VECTORS = 1024, 20_000
 FOUND = "query_id string, case_id string, item_id string, score double"
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
-    """Best k items per query by cosine inside the query's case.
+    """Best k items per query by cosine inside the query's case, exactly.
 
-    queries(query_id, case_id, vector), vectors(case_id, item_id, vector). A small query batch (its size is
-    checked) goes to every task, so the vectors are read once and never shuffled. A larger one is cut into
-    blocks that meet shards of the vectors; both ways return the same rows.
+    queries(query_id, case_id, vector), vectors(case_id, item_id, vector). A case's queries are cut into blocks and its
+    vectors into shards by hash; every block meets every shard of its own case in a task of bounded size, and each
+    task returns k rows per query at most. A case without queries or without vectors is never copied.
     """
     asked = queries.select(F.col("query_id").cast("string"), "case_id", "vector")
     items = vectors.select("case_id", F.col("item_id").cast("string"), "vector")
-    small = asked.limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(small) <= BROADCAST_QUERIES:
-        partial = _against_small_batch(small, items, k, threshold)
-    else:
-        partial = _in_blocks(asked, items, k, threshold)
-    return top_per_key(partial, ["query_id", "case_id"], [F.col("score").desc(), F.col("item_id")], k)
 
+    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
-def _against_small_batch(batch: pd.DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
-    ids, cases = batch["query_id"].to_numpy(object), batch["case_id"].to_numpy(object)
-    units = unit_rows(stack(batch["vector"]))
-
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = TopK(len(ids), k, threshold)
-        for part in parts:
-            if len(part) and len(ids):
-                top.add(units, cases, unit_rows(stack(part["vector"])), part["item_id"].to_numpy(object), part["case_id"].to_numpy(object))
-        yield pd.DataFrame(list(top.rows(ids, cases)), columns=["query_id", "case_id", "item_id", "score"])
+    sizes = parts(asked, BLOCK_QUERIES, "blocks").join(parts(items, SHARD_VECTORS, "shards"), "case_id")
 
-    return items.mapInPandas(scan, FOUND)
+    def part(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
 
+    def copies(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-def _in_blocks(asked: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
-    blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    shards = max(1, math.ceil(items.count() / SHARD_VECTORS))
-
-    def copies(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", copies(shards))
-    right = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("block", copies(blocks))
+    left = asked.join(sizes, "case_id").withColumn("block", part("query_id", "blocks")).withColumn("shard", copies("shards")).drop("blocks", "shards")
+    right = items.join(sizes, "case_id").withColumn("shard", part("item_id", "shards")).withColumn("block", copies("blocks")).drop("blocks", "shards")
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         ids, cases = q["query_id"].to_numpy(object), q["case_id"].to_numpy(object)
@@ -71,7 +51,9 @@ def _in_blocks(asked: DataFrame, items: DataFrame, k: int, threshold: float) ->
             top.add(unit_rows(stack(q["vector"])), cases, unit_rows(stack(v["vector"])), v["item_id"].to_numpy(object), v["case_id"].to_numpy(object))
         return pd.DataFrame(list(top.rows(ids, cases)), columns=["query_id", "case_id", "item_id", "score"])
 
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(meet, FOUND)
+    where = ["case_id", "block", "shard"]
+    partial = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(meet, FOUND)
+    return top_per_key(partial, ["query_id", "case_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
 def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
@@ -119,22 +101,25 @@ def mode_global(relation_hits: DataFrame, edges: DataFrame, sources: DataFrame,
     return entities.unionByName(relations).unionByName(_chunks_of(owners, sources, k))
 
 
-def interleave(*lists: DataFrame) -> DataFrame:
-    """Ranked lists merged place by place (first list first), each item at its best place."""
+def interleave(*lists: DataFrame, k: int | None = None) -> DataFrame:
+    """Ranked lists merged place by place (first list first), each item at its best place; the first k of each kind, or all."""
     n = len(lists)
     placed = [l.withColumn("place", (F.col("rank") - 1) * n + i) for i, l in enumerate(lists)]
     merged = placed[0]
     for other in placed[1:]:
         merged = merged.unionByName(other)
     best = merged.groupBy("query_id", "case_id", "kind", "item_id").agg(F.min("place").alias("place"))
-    return top_per_key(best, ["query_id", "case_id", "kind"], [F.col("place"), F.col("item_id")], n * MAX_TOP_K).drop("place")
+    keys, order = ["query_id", "case_id", "kind"], ["place", "item_id"]
+    ranked = number_rows(best, keys, order, "rank") if k is None else top_per_key(best, keys, [F.col(c) for c in order], k)
+    return ranked.drop("place")
 
 
 def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """New order by relevance score; items without one keep 1 - 0.01 per place."""
     scored = hits.join(scores.select("query_id", "item_id", F.col("score").alias("_new")), ["query_id", "item_id"], "left")
     scored = scored.withColumn("score", F.coalesce("_new", 1.0 - (F.col("rank") - 1) * 0.01)).withColumnRenamed("rank", "old_rank")
-    return top_per_key(scored.drop("_new"), ["query_id"], [F.col("score").desc(), F.col("old_rank")], 1_000_000)
+    ordered = scored.drop("_new").withColumn("_down", -F.col("score"))
+    return number_rows(ordered, ["query_id"], ["_down", "old_rank", "item_id"], "rank").drop("_down")
 
 
 def _path_keys(path: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseloom.functions.text import clean_description
 from caseloom.functions.vocabulary import ENTITY_TYPES, FALLBACK_RELATION, entity_subtype, normalise_entity_type
 from caseloom.operators.traverse import induced_edges, khop_nodes
-from caseloom.session import top_per_key
+from caseloom.session import number_rows, top_per_key
 
 NODE_KEY = ["case_id", "node_id"]
 
@@ -69,12 +69,12 @@ def focus_on(nodes: DataFrame, edges: DataFrame, focus: str, hops: int) -> tuple
 
 
 def graph_view(
-    nodes: DataFrame, edges: DataFrame, *, limit: int = DEFAULT_VIEW_LIMIT, entity_types: list[str] | None = None,
+    nodes: DataFrame, edges: DataFrame, *, limit: int | None = DEFAULT_VIEW_LIMIT, entity_types: list[str] | None = None,
     focus: str | None = None, max_hops: int = 1, **edge_filters,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes with rank, edges, truncated flag per case): edge filters, types, focus, then the limit.
 
-    Degrees stay those of the whole graph.
+    Degrees stay those of the whole graph. With limit None all nodes are shown and none is ranked.
     """
     edges = filter_edges(edges, **edge_filters)
     if entity_types:
@@ -82,6 +82,8 @@ def graph_view(
         edges = both_ends(edges, nodes)
     if focus:
         nodes, edges = focus_on(nodes, edges, focus, max(0, max_hops))
+    if limit is None:
+        return nodes.withColumn("rank", F.lit(None).cast("long")), both_ends(edges, nodes), nodes.select("case_id", F.lit(False).alias("truncated")).distinct()
     first = F.when(F.col("node_id") == F.lit(focus), 0).otherwise(1)
     order = [-F.col("degree"), F.lower("label"), F.lower("node_id"), F.col("node_id")]
     shown = top_per_key(nodes, ["case_id"], [first, *order], max(1, limit))
@@ -204,7 +206,7 @@ def actor_stats(nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> Dat
 def tag_clusters(edges: DataFrame) -> DataFrame:
     """Relation types of a case by name with a running id from 0."""
     per_type = edges.groupBy("case_id", F.col("relation_type").alias("name")).agg(F.count(F.lit(1)).alias("count"))
-    ranked = top_per_key(per_type, ["case_id"], [F.col("name")], 1_000_000, "cluster_id")
+    ranked = number_rows(per_type, ["case_id"], ["name"], "cluster_id")
     return ranked.withColumn("cluster_id", F.col("cluster_id") - 1)
 
 

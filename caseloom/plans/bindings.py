@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caseloom.operators.consolidate import edge_id, implicit_nodes, with_degree
-from caseloom.session import cut_lineage, spread
+from caseloom.session import cut_lineage
 
 NONE = "cast(null as string)"
 
@@ -39,7 +39,7 @@ def trade_node_records(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "region").selectExpr("'case-' || r_regionkey as case_id", "'R:' || r_regionkey as entity_name",
                                               "r_name as label", "'region' as entity_type", f"{NONE} as description",
                                               "cast(r_regionkey as long) as row_ord"),
-        spread(table(spark, sf, "orders").join(cust.select("c_custkey", "case_id"), F.col("o_custkey") == F.col("c_custkey"))).selectExpr(
+        table(spark, sf, "orders").join(cust.select("c_custkey", "case_id"), F.col("o_custkey") == F.col("c_custkey")).selectExpr(
             "case_id", "'O:' || o_orderkey as entity_name", "'Order ' || o_orderkey as label", "'transaction' as entity_type",
             "o_orderpriority || ' order' as description", "o_orderkey as row_ord"),
     ]
@@ -97,10 +97,16 @@ def trade_nodes(spark: SparkSession, sf: str, edges: DataFrame | None = None) ->
     return with_degree(named.unionByName(parts), edges)
 
 
+_GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def trade_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, written out once: every view reads them several times."""
-    edges = cut_lineage(trade_edges(spark, sf))
-    return cut_lineage(trade_nodes(spark, sf, edges)), edges
+    """Nodes and edges, written out once per session and data folder: every view reads them several times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRAPHS:
+        edges = cut_lineage(trade_edges(spark, sf))
+        _GRAPHS[key] = cut_lineage(trade_nodes(spark, sf, edges)), edges
+    return _GRAPHS[key]
 
 
 TRADE_EDGES_SQL = """
@@ -143,7 +149,7 @@ nodes AS (SELECT a.*, coalesce(d.degree, 0) AS degree FROM all_nodes a LEFT JOIN
 def case_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents table as evidence documents of one case per source."""
     labels = table(spark, sf, "labels")
-    return spread(table(spark, sf, "documents").join(labels, "doc_id", "left")).selectExpr(
+    return table(spark, sf, "documents").join(labels, "doc_id", "left").selectExpr(
         "source as case_id", "'D' || doc_id as document_id", "doc_id || '.txt' as original_filename",
         "source || '/' || doc_id || '.txt' as stored_file_path", "sha2(text, 256) as content_hash",
         "'text/plain' as mime_type", "octet_length(text) as size_bytes", "lang as tags",
@@ -161,7 +167,7 @@ CASE_DOCUMENTS_SQL = """case_documents AS (SELECT source AS case_id, 'D' || d.do
 
 def content_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of a document as a content block; the type follows the line number."""
-    lines = spread(table(spark, sf, "documents")).select(
+    lines = table(spark, sf, "documents").select(
         F.col("source").alias("case_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
     null = NONE
     return lines.selectExpr(

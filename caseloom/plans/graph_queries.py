@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.operators import consolidate, evidence as ev, traverse, views
-from caseloom.session import spread
 from caseloom.plans.bindings import (
     NONE, TRADE_EDGES_SQL, TRADE_GRAPH_SQL, _places, table, trade_edges, trade_graph, trade_node_records,
 )
@@ -68,8 +67,8 @@ def node_merge(spark, sf):
 def node_pieces_unique(spark, sf):
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = (
-        spread(table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
-               .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")))
+        table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
+               .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .selectExpr(
             "case_id", "l_linenumber % 2 as source_ord", "l_orderkey * 10 + l_linenumber as row_ord", "'P:' || l_partkey as entity_name",
             "case when l_linenumber = 1 then null else p_name end as label",
@@ -86,7 +85,7 @@ def line_edge_records(spark, sf):
     """Raw relation records of part and supplier, one per order line, with wording that needs normalising."""
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
     return (
-        spread(table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey")))
+        table(spark, sf, "lineitem").join(supp.select("s_suppkey", "case_id"), F.col("l_suppkey") == F.col("s_suppkey"))
         .selectExpr(
             "case_id", "0 as source_ord",
             "l_orderkey * 1000000 + l_linenumber * 100000 + cast(l_quantity as long) * 1000 + cast(round(l_extendedprice) as long) % 1000 as row_ord",
@@ -183,10 +182,10 @@ ORACLE["graph_view_dates"] = graph_sql(_ends_in("shown", f"{_DATED} AND confiden
 QUERIES["graph_view_topn"] = flagship
 ORACLE["graph_view_topn"] = graph_sql("SELECT * FROM shown", _TOP500)
 QUERIES["graph_view_types"] = lambda spark, sf: _view_edges(
-    spark, sf, limit=10_000_000, entity_types=["Object", "Organization"], keywords=["suppl", "resid"], relation_types=["supplied", "located_in"])
+    spark, sf, limit=None, entity_types=["Object", "Organization"], keywords=["suppl", "resid"], relation_types=["supplied", "located_in"])
 ORACLE["graph_view_types"] = graph_sql(
     _ends_in("kept", "relation_type = 'SUPPLIED'"), "kept AS (SELECT * FROM nodes WHERE entity_type IN ('object', 'organization'))")
-QUERIES["graph_view_confidence"] = lambda spark, sf: _view_edges(spark, sf, limit=10_000_000, min_confidence=0.75)
+QUERIES["graph_view_confidence"] = lambda spark, sf: _view_edges(spark, sf, limit=None, min_confidence=0.75)
 ORACLE["graph_view_confidence"] = graph_sql(_ends_in("nodes", "confidence_score >= 0.75"))
 QUERIES["graph_view_focus"] = lambda spark, sf: _view_nodes(
     spark, sf, limit=300, focus="N:1", max_hops=2, relation_types=["RESIDENCE_AT", "PARTICIPATED_IN", "LOCATED_IN"])
@@ -378,7 +377,7 @@ def view_degrees(spark, sf):
 def line_evidence(spark, sf):
     """Order lines as evidence of supply edges, pairs and customers' orders."""
     supp = table(spark, sf, "supplier").join(_places(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "case_id")
-    lines = spread(table(spark, sf, "lineitem").join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
+    lines = table(spark, sf, "lineitem").join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
     facts = ["'orders/' || l_orderkey || '.txt' as file_path", "'line-' || l_orderkey || '-' || l_linenumber as reference_id",
              "'D:' || l_orderkey as document_id", "'B2' as confidence_code"]
     src, tgt = "'P:' || l_partkey", "'S:' || l_suppkey"

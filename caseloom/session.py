@@ -84,12 +84,3 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, name: str =
         .filter(F.col(name) <= k)
         .withColumn(name, F.col(name).cast("long"))
     )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input of few files spread over the cores before heavy per-row work.
-
-    Inputs with at least as many files as cores already keep them busy and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caseloom.functions.text import base_name, strip
-from caseloom.operators.search import MAX_RAW_BYTES, is_text_file
+from caseloom.operators.search import is_text_file
 from caseloom.schemas import LINK, LINK_NODE, TABLES, VECTOR_RECORD
 
 GRAPHML_DATA = "data array<struct<_VALUE string, _key string>>"
@@ -110,11 +110,11 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def text_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Readable text files (path, size_bytes, text): text suffixes, at most 5 MiB, broken bytes replaced."""
+def text_evidence(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """Readable text files (path, size_bytes, text): text suffixes, broken bytes replaced; larger files left out only on demand."""
     mime = mime_type(F.col("path"))
-    files = _binary(spark, path).filter(is_text_file(F.col("path"), mime, F.col("length")) & (F.col("length") <= MAX_RAW_BYTES))
-    return files.select("path", F.col("length").alias("size_bytes"), F.expr("cast(content as string)").alias("text"))
+    files = _binary(spark, path).filter(is_text_file(F.col("path"), mime, F.col("length"), most_bytes))
+    return files.select("path", F.col("length").alias("size_bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def mime_type(path: Column) -> Column:
