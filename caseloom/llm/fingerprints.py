@@ -72,7 +72,8 @@ def with_next(docs: DataFrame, borders: list[int]) -> DataFrame:
     """(doc_id, text, sketch) with the text and sketch of the next row in descending doc_id order; the last row's next is the first.
 
     Rows meet in buckets between borders, so only one text shuffle is needed; the largest row of each bucket is also
-    sent to the bucket above, that of the top bucket to the lowest one. Ties of doc_id go by text; a null id comes last.
+    sent to the bucket above, that of the top bucket to the lowest one. Ties of doc_id go by text. A row
+    without an id stands outside the order: its next document is itself.
     """
     known = F.array(*[F.lit(b).cast("long") for b in borders]) if borders else F.array().cast("array<bigint>")
     steps = [1 << n for n in reversed(range(max(1, len(borders)).bit_length()))]
@@ -83,8 +84,8 @@ def with_next(docs: DataFrame, borders: list[int]) -> DataFrame:
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", at)
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
-    used = sorted((r.bucket, r.top) for r in tops)
-    above = {top: used[(i + 1) % len(used)][0] for i, (_, top) in enumerate(used) if top is not None}
+    used = sorted((r.bucket, r.top) for r in tops if r.top is not None)
+    above = {top: used[(i + 1) % len(used)][0] for i, (_, top) in enumerate(used)}
     targets = F.create_map(*[x for top, b in above.items() for x in (F.lit(top).cast("long"), F.lit(b))]) if above else None
     places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))
     if targets is not None:
@@ -97,7 +98,8 @@ def with_next(docs: DataFrame, borders: list[int]) -> DataFrame:
     return (
         sketched.withColumn("next_text", F.lag("text").over(order)).withColumn("next_sketch", F.lag("sketch").over(order))
         .filter(~F.col("guest")).drop("b", "guest")
-        .withColumn("next_text", F.coalesce("next_text", "text")).withColumn("next_sketch", F.coalesce("next_sketch", "sketch"))
+        .withColumn("next_text", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.coalesce("next_text", "text")))
+        .withColumn("next_sketch", F.when(F.col("doc_id").isNull(), F.col("sketch")).otherwise(F.coalesce("next_sketch", "sketch")))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType, StructType
 
 OWN = ("doc_id", "text", "n_chars")
 
@@ -11,6 +12,21 @@ def _name(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
+def through_tasks(docs: DataFrame, run, results: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """docs without the columns of leave_out, beside the result columns that run(batches, names) adds in Arrow batches.
+
+    names are those of the batches' columns to pass on. Columns of docs named like a result are replaced. Names are plain
+    numbers on the way, since not every column name can be used inside a task.
+    """
+    added = DataType.fromDDL(results).fields
+    rest = docs.select(*[F.col(_name(c)) for c in docs.columns if c not in {f.name for f in added}])
+    numbered = rest.toDF(*[c if c in (*OWN, *leave_out, "ids") else f"_{i}" for i, c in enumerate(rest.columns)])
+    passing = [f for f in numbered.schema.fields if f.name not in leave_out]
+    names = [f.name for f in passing]
+    out = numbered.mapInArrow(lambda batches: run(batches, names), StructType([*passing, *added]))
+    return out.toDF(*[c for c in rest.columns if c not in leave_out], *[f.name for f in added])
+
+
 def carry(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars (null where docs has none) and all other columns, whatever their names, in the struct `rest`."""
     rest = [F.col(_name(c)) for c in docs.columns if c not in OWN]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.llm.frames import carry, restore
+from caseloom.llm.frames import carry, restore, through_tasks
 from caseloom.session import top_per_key
 
 ORDERS = (2, 3, 4)
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> Da
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches):
+    def label(batches, fields):
         m = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -128,10 +128,7 @@ def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> Da
             kept = batch.select(fields)
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*fields, "lang_pred", "score"])
 
-    rest = docs.drop("lang_pred", "score")
-    fields = [c for c in rest.columns if keep_text or c != "text"]
-    schema = rest.select(*fields, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rest.mapInArrow(label, schema)
+    return through_tasks(docs, label, "lang_pred string, score double", () if keep_text else ("text",))
 
 
 def language_stage(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.llm.frames import carry, restore
+from caseloom.llm.frames import carry, restore, through_tasks
 from caseloom.llm.spans import Span, digest, joined, overlaps
 from caseloom.llm.words import WORD
 
@@ -252,10 +252,8 @@ def find_personal(docs: DataFrame, field: Field | None = None, keep_text: bool =
     model = fit(docs) if field is None else field
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    rest = docs.drop(*own)
-    fields = [c for c in rest.columns if keep_text or c != "text"]
 
-    def scan(batches):
+    def scan(batches, fields):
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -266,8 +264,8 @@ def find_personal(docs: DataFrame, field: Field | None = None, keep_text: bool =
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([*batch.select(fields).columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*fields, *own])
 
-    schema = rest.select(*fields, *(F.lit(0).cast("long").alias(c) for c in own[:4]), *(F.lit("").alias(c) for c in own[4:])).schema
-    return rest.mapInArrow(scan, schema)
+    results = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return through_tasks(docs, scan, results, () if keep_text else ("text",))
 
 
 def redact(text: str | None, spans: str) -> str | None:

@@ -7,7 +7,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from caseloom.llm.frames import through_tasks
 
 MARK = "▁"
 #: Words whose ids a worker remembers, and the longest word that is remembered.
@@ -130,32 +132,27 @@ def worker_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, name: str = "ids") -> DataFrame:
     """docs with the ids of every whole text; a null or empty text has none. A column of the same name is replaced."""
-    rest = docs.drop(name)
-    fields = rest.columns
-
-    def run(batches):
+    def run(batches, fields):
         model = worker_model(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             for a in range(0, len(texts), BATCH):
                 part = batch.slice(a, BATCH)
                 ids = pa.array(model.encode(texts[a:a + BATCH]), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*fields, name])
 
-    return rest.mapInArrow(run, rest.select(*fields, F.array().cast("array<int>").alias(name)).schema)
+    return through_tasks(docs, run, f"`{name}` array<int>")
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """rows with the text of their ids; null ids give an empty text. Ids outside the model fail the job."""
-    rest = rows.drop(name)
-    fields = rest.columns
+def decode(rows: DataFrame, path: str, name: str = "decoded") -> DataFrame:
+    """rows(ids, ...) with the text of their ids; null ids give an empty text. Ids outside the model fail the job."""
 
-    def run(batches):
+    def run(batches, fields):
         model = worker_model(path)
         for batch in batches:
-            texts = [model.decode(i or []) for i in batch.column(ids).to_pylist()]
+            texts = [model.decode(i or []) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*fields, name])
 
-    return rest.mapInArrow(run, rest.select(*fields, F.lit("").alias(name)).schema)
+    return through_tasks(rows, run, f"`{name}` string")
