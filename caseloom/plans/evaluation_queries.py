@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.operators import evaluate as ev, goldens as gd
 from caseloom.plans.bindings import CASE_DOCUMENTS_SQL, DOCUMENT_CHUNKS_SQL, NONE, case_documents, document_chunks, table
 from caseloom.plans.retrieval_queries import BASE_SQL, entity_hits
+from caseloom.session import with_next
 
 QUERIES, ORACLE = {}, {}
 THRESHOLD = 0.5
@@ -89,10 +90,11 @@ def relation_sides(spark, sf):
     ranked = entity_hits(spark, sf).select("query_id", F.col("item_id").alias("key"), "rank").join(retrieved, ["query_id", "key"])
     following = Window.partitionBy("query_id").orderBy("rank")
     have = ranked.select("query_id", F.col("key").alias("src"), F.lead("key").over(following).alias("tgt"), F.col("vector").alias("src_vector"), F.lead("vector").over(following).alias("tgt_vector")).filter("tgt is not null")
-    labelled = table(spark, sf, "embeddings")
-    chain = Window.partitionBy("label").orderBy("vec_id")
-    want = labelled.select(F.expr("'q' || label").alias("query_id"), F.expr("'E' || vec_id").alias("src"), F.lead(F.expr("'E' || vec_id")).over(chain).alias("tgt"),
-                           F.col("embedding").alias("src_vector"), F.lead("embedding").over(chain).alias("tgt_vector")).filter("tgt is not null")
+    vectors = table(spark, sf, "embeddings")
+    pairs = with_next(vectors.select("label", "vec_id"), ["label"], ["vec_id"], "vec_id", "next_id").filter("next_id is not null")
+    want = pairs.join(vectors.select("vec_id", F.col("embedding").alias("src_vector")), "vec_id").join(
+        vectors.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("tgt_vector")), "next_id"
+    ).selectExpr("'q' || label as query_id", "'E' || vec_id as src", "'E' || next_id as tgt", "src_vector", "tgt_vector")
     return questions, want, have, retrieved
 
 

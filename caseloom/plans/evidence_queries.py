@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from caseloom.operators import evidence as ev
 from caseloom.plans.bindings import CASE_DOCUMENTS_SQL, DOCUMENT_CHUNKS_SQL, NONE, case_documents, document_chunks
+from caseloom.session import with_next
 
 QUERIES, ORACLE = {}, {}
 
@@ -42,9 +43,8 @@ def evidence_resolve(spark, sf):
 
 def paired_records(spark, sf):
     """Every document's entity points to the first chunk of the document and of its successor."""
-    docs = case_documents(spark, sf)
-    following = F.lead("document_id").over(Window.partitionBy("case_id").orderBy("created_ord"))
-    return docs.select("case_id", "document_id", following.alias("n")).selectExpr(
+    docs = case_documents(spark, sf).select("case_id", "document_id", "created_ord")
+    return with_next(docs, ["case_id"], ["created_ord"], "document_id", "n").selectExpr(
         "case_id", "'entity' as owner_kind", "'E' || document_id as owner_key", "document_id || '-0<SEP>UNKNOWN<SEP>' || coalesce(n || '-0', '') as source_id")
 
 

@@ -224,7 +224,7 @@ def stream_usage(spark, sf):
     traces = stream_of(spark, sf, "events").selectExpr(
         "event_type as stage", "'model-' || user_id % 3 as model", "value as latency_ms", "cast(get_json_object(props, '$.k') as long) as total_tokens", f"case when event_type = 'error' then 'failed' else {NONE} end as error")
     flows.live_usage(traces, path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path).select("stage", "model", "calls", "errors", "total_tokens", "max_latency_ms")
+    return flows.latest_usage(spark, path).select("stage", "model", "calls", "errors", "total_tokens", "max_latency_ms")
 
 
 # --- the model hook ------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from caseloom.operators import integrity as dl, resolve as er
 from caseloom.plans.bindings import (
     CASE_DOCUMENTS_SQL, DOCUMENT_CHUNKS_SQL, NONE, TRADE_GRAPH_SQL, case_documents, document_chunks, table, trade_graph,
 )
-from caseloom.session import cut_lineage
+from caseloom.session import cut_lineage, with_next
 
 QUERIES, ORACLE = {}, {}
 SMALL = ", ".join(f"'{w}'" for w in er.SMALL_WORDS)
@@ -60,11 +60,8 @@ def er_candidates(spark, sf):
 
 def proposals(spark, sf):
     """Each part proposes its successor of the same name, with a confidence from its size."""
-    from pyspark.sql import Window
-
-    part = table(spark, sf, "part")
-    following = F.lead("p_partkey").over(Window.partitionBy("p_name").orderBy("p_partkey"))
-    return part.select("p_partkey", "p_size", following.alias("n")).filter("n is not null").selectExpr(
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_name")
+    return with_next(part, ["p_name"], ["p_partkey"], "p_partkey", "n").filter("n is not null").selectExpr(
         "'parts' as case_id", "p_partkey * 7919 % 10007 * 100000 + p_partkey as ord", "'P:' || p_partkey as source", "'P:' || n as target", "0.8 + p_size / 250.0 as confidence")
 
 
@@ -154,11 +151,8 @@ def doomed_tokens(spark, sf):
 
 def vector_records(spark, sf):
     """A record per document on its own chunk and its successor's, one per chunk by alias."""
-    from pyspark.sql import Window
-
-    docs = case_documents(spark, sf)
-    following = F.lead("document_id").over(Window.partitionBy("case_id").orderBy("created_ord"))
-    entities = docs.select("case_id", "document_id", "stored_file_path", following.alias("n")).selectExpr(
+    docs = case_documents(spark, sf).select("case_id", "document_id", "stored_file_path", "created_ord")
+    entities = with_next(docs, ["case_id"], ["created_ord"], "document_id", "n").selectExpr(
         "case_id", "'V' || document_id as record_id", f"{NONE} as document_id", "document_id || '-0' || coalesce('<SEP>' || n || '-0', '') as source_id", f"{NONE} as chunk_id", "stored_file_path as file_path")
     chunks = chunk_rows(spark, sf).selectExpr("case_id", "'W' || chunk_id as record_id", f"{NONE} as document_id", f"{NONE} as source_id", "alias as chunk_id", f"{NONE} as file_path")
     return entities.unionByName(chunks)

@@ -9,6 +9,7 @@ from caseloom.operators import naming, textprep as tp
 from caseloom.plans.bindings import (
     CASE_DOCUMENTS_SQL, CONTENT_BLOCKS_SQL, DOCUMENT_CHUNKS_SQL, NONE, case_documents, content_blocks, document_chunks, table,
 )
+from caseloom.session import with_next
 
 QUERIES, ORACLE = {}, {}
 
@@ -265,12 +266,10 @@ hit AS (SELECT t.case_id, record_id, arg_max(d.document_id, created_ord) AS docu
  FROM tok t JOIN chunks c ON c.case_id = t.case_id AND c.chunk_id = t.chunk_id JOIN case_documents d ON d.document_id = c.document_id GROUP BY 1, 2)
 SELECT r.case_id, r.record_id, r.document_id || '-0' || coalesce('<SEP>' || next_doc || '-0', '') AS source_id, h.document_id, h.confidence_code, h.file_path FROM recs r LEFT JOIN hit h ON h.case_id = r.case_id AND h.record_id = r.record_id""")
 def annotate(spark, sf):
-    from pyspark.sql import Window
-
     docs = case_documents(spark, sf)
-    following = F.lead("document_id").over(Window.partitionBy("case_id").orderBy("created_ord"))
-    records = docs.select("case_id", F.expr("'V' || substr(document_id, 2)").alias("record_id"), F.lit(None).cast("string").alias("file_path"),
-                          F.concat(F.col("document_id"), F.lit("-0"), F.coalesce(F.concat(F.lit("<SEP>"), following, F.lit("-0")), F.lit(""))).alias("source_id"))
+    paired = with_next(docs.select("case_id", "document_id", "created_ord"), ["case_id"], ["created_ord"], "document_id", "n")
+    records = paired.select("case_id", F.expr("'V' || substr(document_id, 2)").alias("record_id"), F.lit(None).cast("string").alias("file_path"),
+                            F.concat(F.col("document_id"), F.lit("-0"), F.coalesce(F.concat(F.lit("<SEP>"), "n", F.lit("-0")), F.lit(""))).alias("source_id"))
     chunks = document_chunks(spark, sf).select("case_id", "chunk_id", F.lit(None).cast("string").alias("alias"), "document_id")
     return tp.annotate_by_chunks(records, chunks, docs.select("case_id", "document_id", "confidence_code", "stored_file_path", F.col("created_ord").alias("ingest_order")))
 

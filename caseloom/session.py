@@ -76,6 +76,16 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) ->
     )
 
 
+def with_next(df: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """df with the value of `column` in the next row of its key, null in the last one; no key is put into one task.
+
+    df should be narrow: it is written out once. The order must be total.
+    """
+    placed = number_rows(df, keys, order, "_n")
+    following = placed.select(*keys, (F.col("_n") - 1).alias("_n"), F.col(column).alias(name))
+    return placed.join(following, [*keys, "_n"], "left").drop("_n")
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     """The first k rows per key; Spark prunes to k rows per key and task before it shuffles."""
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -8,26 +8,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from caseloom.functions.text import strip
 from caseloom.operators.documents import IN_FLIGHT_STATES, TERMINAL_STATES, intake_decisions, stage_usage
-from caseloom.operators.search import build_postings
+from caseloom.operators.search import build_postings, segment_id
 from caseloom.operators.textprep import preflight, route, source_kind
 
 LOG_LIMIT, LOG_LIMIT_MAX = 500, 2000
 
 
-def _put_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+def _put_batch(df: DataFrame, path: str, batch_id: int, *parts: str) -> None:
+    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *parts).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def _earlier_batches(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows of the batches before this one; empty before the first."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-    except AnalysisException:
+    """Rows of the batches before this one; empty where nothing has been written yet, any other fault is raised."""
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+
+
+def _prefix(c: str) -> Column:
+    # a letter in front, so that a folder name is never read as a number
+    return F.concat(F.lit("h"), F.substring(c, 1, 2))
 
 
 def _start(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
@@ -42,13 +50,17 @@ def intake(stream: DataFrame, path: str, checkpoint: str, available_now: bool =
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("content_hash", F.sha2("content", 256)).persist()
-        stored = _earlier_batches(batch.sparkSession, path, batch_id, "case_id string, content_hash string, batch_id int")
+        stored = _earlier_batches(batch.sparkSession, path, batch_id, "case_id string, content_hash string, batch_id int, prefix string")
+        # hashes are kept by their first two digits: only those of this batch are read, and only its own hashes meet
+        prefixes = [r[0] for r in batch.select(_prefix("content_hash")).distinct().collect()]
+        stored = stored.filter(F.col("prefix").isin(prefixes)).join(batch.select("content_hash").distinct(), "content_hash", "left_semi")
         accepted = intake_decisions(batch, stored).filter("decision = 'accepted'").select("case_id", "document_id")
         fresh = batch.join(accepted, ["case_id", "document_id"], "left_semi")
         chosen = route(source_kind(F.col("file_name"), F.col("mime_type")), F.col("profile"), F.lit(""), F.lit("")).alias("route")
         routed = fresh.select("case_id", "document_id", "content_hash", "created_ord", chosen).select("case_id", "document_id", "content_hash", "created_ord", "route.*")
         facts = preflight(fresh).select("case_id", "document_id", "source_kind", "size_bytes", "complexity_class", "eta_seconds")
-        _put_batch(routed.join(facts, ["case_id", "document_id"]).withColumn("status", F.lit("queued")), path, batch_id)
+        done = routed.join(facts, ["case_id", "document_id"]).withColumns({"status": F.lit("queued"), "prefix": _prefix("content_hash")})
+        _put_batch(done, path, batch_id, "prefix")
         batch.unpersist()
 
     return _start(stream, each_batch, checkpoint, available_now=available_now)
@@ -95,13 +107,21 @@ def after_restart(states: DataFrame) -> DataFrame:
 
 
 def index_new_segments(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Postings of newly arrived segments only."""
-    return _start(stream, lambda batch, n: _put_batch(build_postings(batch), path, n), checkpoint, available_now=available_now)
+    """Postings of segments that are not indexed yet; one that arrives again, in a batch or later, is passed over."""
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        known = _earlier_batches(batch.sparkSession, path, batch_id, "segment_id string, batch_id int").select("segment_id").distinct()
+        fresh = batch.withColumn("segment_id", segment_id()).dropDuplicates(["segment_id"]).join(known, "segment_id", "left_anti")
+        _put_batch(build_postings(fresh.drop("segment_id")), path, batch_id)
+
+    return _start(stream, each_batch, checkpoint, available_now=available_now)
 
 
 def live_usage(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Running usage per stage and model; the state is one row per pair, the table is replaced by each batch."""
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    """Running usage per stage and model; each batch writes a version of its own, so a reader never meets a half-written table."""
+    return _start(stage_usage(stream), lambda batch, n: _put_batch(batch.coalesce(1), path, n), checkpoint, mode="complete", available_now=available_now)
+
 
-    return _start(stage_usage(stream), each_batch, checkpoint, mode="complete", available_now=available_now)
+def latest_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of the usage table."""
+    versions = spark.read.parquet(path)
+    return versions.filter(F.col("batch_id") == versions.agg(F.max("batch_id")).scalar()).drop("batch_id")
