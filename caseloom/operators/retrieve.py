@@ -28,7 +28,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, threshol
     task returns k rows per query at most. A case without queries or without vectors is never copied.
     """
     asked = queries.select(F.col("query_id").cast("string"), "case_id", "vector")
-    items = vectors.select("case_id", F.col("item_id").cast("string"), "vector")
+    # named anew, so that the two sides stay apart where both come from one table
+    items = vectors.select(F.col("case_id").alias("case_id"), F.col("item_id").cast("string"), F.col("vector").alias("vector"))
 
     def parts(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))

@@ -29,3 +29,13 @@ def test_top_rows_are_pruned_before_the_shuffle(spark):
 
     plan = actor_counts(trade_graph(spark, SF)[0])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
+
+
+@pytest.mark.parametrize("name", ["annotate", "delete_cascade", "evidence_by_chunk", "graph_view_types", "graph_view_confidence", "eval_relations", "vector_topk"])
+def test_no_case_or_label_in_one_window(spark, name):
+    import re
+
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        keys = re.search(r"Window \[row_number.*\], \[(\w+)#\d+\],", line) or re.search(r"Window \[lead.*\], \[(\w+)#\d+\],", line)
+        assert not keys or keys[1] not in ("case_id", "label") or "WindowGroupLimit" in plan, line[:200]
