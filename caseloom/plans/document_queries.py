@@ -143,7 +143,7 @@ def stage_usage(spark, sf):
 
 
 @query("summary_carry", f"""WITH {CASES_SQL}, t AS (SELECT source AS case_id, arg_max(text, (n_chars, doc_id)) AS summary_text, arg_min(text, (n_chars, doc_id)) AS old_text, max(doc_id) AS m FROM documents GROUP BY 1)
-SELECT case_id, name, CASE WHEN m % 3 = 0 THEN left(summary_text, 50) WHEN m % 3 = 1 THEN left(old_text, 50) END AS summary_text, CASE WHEN m % 3 = 1 THEN 'kept investigation' END AS investigation_summary,
+SELECT case_id, name, CASE WHEN m % 3 = 0 THEN summary_text WHEN m % 3 = 1 THEN old_text END AS summary_text, CASE WHEN m % 3 = 1 THEN 'kept investigation' END AS investigation_summary,
 CASE m % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'kept' ELSE 'none' END AS summary_state FROM cases JOIN t USING (case_id)""")
 def summary_carry(spark, sf):
     texts = table(spark, sf, "documents").groupBy(F.col("source").alias("case_id")).agg(
@@ -151,7 +151,7 @@ def summary_carry(spark, sf):
     reply = texts.filter("m % 3 = 0").selectExpr("case_id", f"{NONE} as intelligence_summary", f"{NONE} as investigation_summary", "new as summary_text")
     previous = texts.filter("m % 3 < 2").selectExpr("case_id", f"{NONE} as intelligence_summary", "'kept investigation' as investigation_summary", "old as summary_text")
     out = dc.carry_over_summary(cases(spark, sf).select("case_id", "name"), reply, previous)
-    return out.select("case_id", "name", F.substring("summary_text", 1, 50).alias("summary_text"), "investigation_summary", "summary_state")
+    return out.select("case_id", "name", "summary_text", "investigation_summary", "summary_state")
 
 
 @query("unknown_list", """WITH w AS (SELECT 'k' || user_id % 5 AS case_id, event_id AS ord, CASE WHEN event_id % 2 = 0 THEN upper(event_type || value::INT) ELSE event_type || value::INT END AS text FROM events),

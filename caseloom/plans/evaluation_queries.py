@@ -124,12 +124,17 @@ def eval_connectivity(spark, sf):
     return ev.connectivity_recall(questions, want, retrieved, THRESHOLD)
 
 
-@query("eval_graph_rows", f"""WITH {CONNECTED_SQL} SELECT query_id, CASE WHEN query_id IN ('q1', 'q4') THEN 'naive' ELSE 'hybrid' END AS mode, query_id IN ('q2', 'q5') AS out_of_scope,
-CASE WHEN query_id NOT IN ('q1', 'q2', 'q4', 'q5') THEN relation_connectivity_recall END AS relation_connectivity_recall FROM conn""")
+METRICS = [f"{kind}_{m}" for kind in ("entity", "relation") for m in ("recall", "precision", "recall_exact", "precision_exact")]
+METRICS += [f"{part}_{kind}_count" for kind in ("entity", "relation") for part in ("retrieved", "matched")] + ["relation_connectivity_recall"]
+
+
+@query("eval_graph_rows", f"""SELECT query_id, CASE WHEN query_id IN ('q1', 'q4') THEN 'naive' ELSE 'hybrid' END AS mode, query_id IN ('q2', 'q5') AS out_of_scope, expected_entity_count, expected_relation_count,
+{', '.join(f"CASE WHEN query_id NOT IN ('q1', 'q2', 'q4', 'q5') THEN {m} END AS {m}" for m in METRICS)}
+FROM ({ORACLE["eval_entities"]}) JOIN ({ORACLE["eval_relations"]}) USING (query_id) JOIN ({ORACLE["eval_connectivity"]}) USING (query_id)""")
 def eval_graph_rows(spark, sf):
     connected = eval_connectivity(spark, sf)
     questions = connected.selectExpr("query_id", "case when query_id in ('q1', 'q4') then 'naive' else 'hybrid' end as mode", "query_id in ('q2', 'q5') as out_of_scope")
-    return ev.graph_metric_rows(questions, connected)
+    return ev.graph_metric_rows(questions, eval_entities(spark, sf), eval_relations(spark, sf), connected)
 
 
 @query("eval_contexts", r"""WITH t AS (SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS x FROM conversations)

@@ -69,7 +69,7 @@ def graphml_edges(spark, sf):
 
 
 def _json_files(spark, rows, key: str, body: str):
-    """Rows (group, key, body) as one JSON object per group."""
+    """Rows (group, key, body) as one JSON object per group; a group is a range of a few hundred ids."""
     path = scratch(spark)
     entries = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"'), F.col(key), F.lit('": '), F.col(body)))), ", ")
     rows.groupBy("grp").agg(F.concat(F.lit("{"), entries, F.lit("}")).alias("value")).repartition("grp").write.partitionBy("grp").text(path)
@@ -79,7 +79,7 @@ def _json_files(spark, rows, key: str, body: str):
 @query("kv_store", "SELECT 'chunk-' || doc_id AS key, text AS content, 'D' || doc_id AS full_doc_id, n_chars AS tokens FROM documents")
 def kv_store(spark, sf):
     rows = table(spark, sf, "documents").select(
-        F.concat_ws("-", "source", "lang").alias("grp"), F.concat(F.lit("chunk-"), "doc_id").alias("key"),
+        F.expr("doc_id div 200").alias("grp"), F.concat(F.lit("chunk-"), "doc_id").alias("key"),
         F.to_json(F.struct(F.col("text").alias("content"), F.concat(F.lit("D"), "doc_id").alias("full_doc_id"), F.col("n_chars").alias("tokens"))).alias("body"))
     return files.kv_store(spark, _json_files(spark, rows, "key", "body"), files_record("text_chunks")).select("key", "content", "full_doc_id", "tokens")
 
@@ -90,18 +90,18 @@ def files_record(name: str) -> str:
     return KV_RECORDS[name]
 
 
-@query("vector_store", "SELECT 'v' || vec_id AS id, 'E' || label AS entity_name, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+@query("vector_store", "SELECT 'v' || vec_id AS id, 'E' || label AS entity_name, array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1048576)::BIGINT), ',') AS vector FROM embeddings")
 def vector_store(spark, sf):
     rows = table(spark, sf, "embeddings").select(
-        F.pmod("vec_id", F.lit(7)).alias("grp"), F.concat(F.lit("v"), "vec_id").alias("key"),
+        F.expr("vec_id div 500").alias("grp"), F.concat(F.lit("v"), "vec_id").alias("key"),
         F.to_json(F.struct(F.concat(F.lit("E"), "label").alias("entity_name"), F.col("embedding").alias("__vector__"))).alias("body"))
     found = files.vector_records(spark, _json_files(spark, rows, "key", "body"))
-    return found.select("id", "entity_name", F.round(F.col("__vector__")[0].cast("double"), 6).alias("first"))
+    return found.select("id", "entity_name", F.array_join(F.transform("__vector__", lambda x: F.floor(x.cast("float").cast("double") * 1048576)), ",").alias("vector"))
 
 
 @query("cached_results", "SELECT 'Q' || item_id AS query_id, text AS answer FROM benchmark")
 def cached_results(spark, sf):
-    rows = table(spark, sf, "benchmark").select(F.pmod("item_id", F.lit(3)).alias("grp"), F.concat(F.lit("Q"), "item_id").alias("key"), F.to_json(F.struct(F.col("text").alias("answer"))).alias("body"))
+    rows = table(spark, sf, "benchmark").select(F.expr("item_id div 200").alias("grp"), F.concat(F.lit("Q"), "item_id").alias("key"), F.to_json(F.struct(F.col("text").alias("answer"))).alias("body"))
     return files.cached_results(spark, _json_files(spark, rows, "key", "body"), "answer string").select("query_id", "answer")
 
 
@@ -114,11 +114,12 @@ def link_csv(spark, sf):
     return files.links(spark, path).select("node_id_start", "node_id_end", "rel_type", F.col("start_date").cast("string").alias("start_date"))
 
 
-@query("text_evidence", r"SELECT 'nation=' || n_nationkey AS folder, n_name || chr(10) AS text FROM nation")
+@query("text_evidence", r"SELECT 'range=' || doc_id // 100 AS folder, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1")
 def text_evidence(spark, sf):
     path = scratch(spark)
-    table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_name").repartition("nation").write.partitionBy("nation").text(path)
-    return files.text_evidence(spark, f"{path}/nation=*/*.txt").select(F.regexp_extract("path", "(nation=[0-9]+)/", 1).alias("folder"), "text")
+    rows = table(spark, sf, "documents").select(F.expr("doc_id div 100").alias("range"), "doc_id", "text")
+    rows.repartition("range").sortWithinPartitions("range", "doc_id").select("range", "text").write.partitionBy("range").text(path)
+    return files.text_evidence(spark, f"{path}/range=*/*.txt").select(F.regexp_extract("path", "(range=[0-9]+)/", 1).alias("folder"), "text")
 
 
 @query("casepack", "SELECT 'text/plain' AS mime_type, sha256(n_name || chr(10)) AS sha256, length(n_name) + 1 AS size_bytes FROM nation")

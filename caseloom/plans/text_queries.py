@@ -227,7 +227,15 @@ def boundaries(spark, sf):
         "case_id", "document_id", F.col("block_no").cast("long").alias("block_no"), tp.is_boundary(F.col("body")).alias("boundary"))
 
 
-@query("coalesce_blocks")
+@query("coalesce_blocks", rf"""WITH RECURSIVE {CONTENT_BLOCKS_SQL}, sized AS (SELECT case_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY block_no) AS n, t,
+ greatest(1, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))) AS tokens, (starts_with(t, 'Image:') OR starts_with(t, 'Table:') OR starts_with(t, 'Equation:') OR starts_with(t, 'Page ')
+ OR (length(t) <= 90 AND t[-1] NOT IN ('.', '?', '!', ':', ';'))) AS alone FROM (SELECT *, trim(body) AS t FROM block_texts WHERE body IS NOT NULL) WHERE t <> ''),
+fold AS (SELECT document_id, n, 0::BIGINT AS window_no, CASE WHEN alone OR tokens >= 500 THEN 1 ELSE 0 END::BIGINT AS open, CASE WHEN alone OR tokens >= 500 THEN 0 ELSE tokens END::BIGINT AS held FROM sized WHERE n = 1
+UNION ALL SELECT s.document_id, s.n, CASE WHEN f.held > 0 AND (s.alone OR f.held + s.tokens > 600) THEN f.open + 1 ELSE f.open END,
+ CASE WHEN f.held > 0 AND (s.alone OR f.held + s.tokens > 600) THEN f.open + 1 ELSE f.open END + CASE WHEN s.alone OR CASE WHEN f.held + s.tokens > 600 THEN 0 ELSE f.held END + s.tokens >= 500 THEN 1 ELSE 0 END,
+ CASE WHEN s.alone OR CASE WHEN f.held + s.tokens > 600 THEN 0 ELSE f.held END + s.tokens >= 500 THEN 0 ELSE CASE WHEN f.held + s.tokens > 600 THEN 0 ELSE f.held END + s.tokens END
+ FROM fold f JOIN sized s ON s.document_id = f.document_id AND s.n = f.n + 1)
+SELECT s.case_id, s.document_id, window_no, trim(string_agg(t, chr(10) ORDER BY s.n)) AS text FROM sized s JOIN fold f ON f.document_id = s.document_id AND f.n = s.n GROUP BY 1, 2, 3""")
 def coalesce_blocks(spark, sf):
     blocks = tp.block_text(content_blocks(spark, sf)).select("case_id", "document_id", "block_no", F.col("body").alias("text"))
     return tp.coalesce_blocks(blocks)
