@@ -164,11 +164,3 @@ def pair_details(normalised: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("seen", "relation_type"))), lambda s: s["relation_type"]).alias("relation_types"),
         *[F.min_by(F.col(c)[c], "seen").alias(c) for c in ("raw_phrase", "confidence_score", "confidence_band")],
     )
-
-
-def build_graph(node_rows: DataFrame, edge_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The consolidated case graph: nodes with degree, and edges."""
-    edges = merge_edges(edge_records(edge_rows))
-    named = consolidate_nodes(node_rows)
-    nodes = named.unionByName(implicit_nodes(edges, named))
-    return with_degree(nodes, edges), edges

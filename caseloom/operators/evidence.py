@@ -142,8 +142,3 @@ def relationship_tags(edges: DataFrame, evidence: DataFrame, documents: DataFram
         .groupBy("case_id", "edge_id", F.lower("tag").alias("tag_key"))
         .agg(F.min_by("tag", "ord").alias("tag"), F.min("ord").alias("first_seen"))
     )
-
-
-def reference_of(reference_id, fallback, source_id, record_id, own_id):
-    """Reference of a record: its reference id, the given fallback, else its source or own id."""
-    return F.coalesce(pick_text(reference_id), fallback, pick_text(source_id, record_id, own_id))

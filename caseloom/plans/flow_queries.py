@@ -10,7 +10,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from caseloom.functions.vocabulary import confidence_band
 from caseloom.operators import consolidate, model_map as mm, search as fts
+from caseloom.operators.documents import stage_usage
 from caseloom.plans.bindings import CASE_DOCUMENTS_SQL, NONE, TRADE_GRAPH_SQL, case_documents, table, trade_graph
 from caseloom.plans.graph_queries import LINE_EVIDENCE_SQL, line_evidence
 from caseloom.plans.search_queries import language_segments
@@ -114,6 +116,22 @@ def link_csv(spark, sf):
     return files.links(spark, path).select("node_id_start", "node_id_end", "rel_type", F.col("start_date").cast("string").alias("start_date"))
 
 
+@query("link_nodes", """SELECT 'C' || c_custkey AS node_id, c_name AS name, NULL AS countries, 'customer table' AS "sourceID", NULL AS note, 'officers' AS kind FROM customer
+UNION ALL SELECT 'S' || s_suppkey, s_name, s_nationkey::VARCHAR, NULL, 'a, b', 'entities' FROM supplier""")
+def link_nodes(spark, sf):
+    path = scratch(spark)
+    parts = {
+        "officers": table(spark, sf, "customer").selectExpr("'C' || c_custkey as node_id", "c_name as name", "'customer table' as sourceID", "'unused' as extra"),
+        "entities": table(spark, sf, "supplier").selectExpr("'S' || s_suppkey as node_id", "s_name as name", "cast(s_nationkey as string) as countries", "'a, b' as note"),
+    }
+    found = None
+    for kind, rows in parts.items():
+        rows.write.option("header", True).csv(f"{path}/nodes-{kind}.csv")
+        nodes = files.link_nodes(spark, f"{path}/nodes-{kind}.csv")
+        found = nodes if found is None else found.unionByName(nodes)
+    return found.select("node_id", "name", "countries", "sourceID", "note", "kind")
+
+
 @query("text_evidence", r"SELECT 'range=' || doc_id // 100 AS folder, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1")
 def text_evidence(spark, sf):
     path = scratch(spark)
@@ -139,11 +157,16 @@ def export_entities(spark, sf):
 
 
 @query("export_relations", f"""WITH {TRADE_GRAPH_SQL}, {LINE_EVIDENCE_SQL} SELECT e.case_id, edge_id AS id, e.src_id AS source_id, a.label AS source_name, a.entity_type AS source_type, e.tgt_id AS target_id, b.label AS target_name, b.entity_type AS target_type,
-relation_type, e.label AS description, coalesce("timestamp", '') AS "timestamp", round(confidence_score, 6) AS confidence_score, coalesce(sources, '') AS sources FROM edges e JOIN nodes a ON a.case_id = e.case_id AND a.node_id = e.src_id JOIN nodes b ON b.case_id = e.case_id AND b.node_id = e.tgt_id
+relation_type, e.label AS description, coalesce("timestamp", '') AS "timestamp", round(confidence_score, 6) AS confidence_score,
+CASE WHEN confidence_score IS NULL THEN '' WHEN confidence_score >= 0.75 THEN 'high' WHEN confidence_score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence_band, coalesce(sources, '') AS sources FROM edges e JOIN nodes a ON a.case_id = e.case_id AND a.node_id = e.src_id JOIN nodes b ON b.case_id = e.case_id AND b.node_id = e.tgt_id
 LEFT JOIN (SELECT case_id, src_id, tgt_id, string_agg(file_path || '#' || reference_id, ' | ' ORDER BY file_path, reference_id) AS sources FROM (SELECT DISTINCT case_id, src_id, tgt_id, file_path, reference_id FROM facts) GROUP BY 1, 2, 3) s ON s.case_id = e.case_id AND s.src_id = e.src_id AND s.tgt_id = e.tgt_id""")
 def export_relations(spark, sf):
-    rows = sinks.relation_rows(*trade_graph(spark, sf), line_evidence(spark, sf))
-    return rows.drop("confidence_band").withColumn("confidence_score", F.expr("round(try_cast(confidence_score as double), 6)"))
+    path = scratch(spark)
+    nodes, edges = trade_graph(spark, sf)
+    banded = edges.withColumn("confidence_band", confidence_band(F.col("confidence_score")))
+    sinks.write_relations_csv(nodes, banded, line_evidence(spark, sf), path)
+    rows = spark.read.option("header", True).csv(path).fillna("", ["sources", "timestamp", "confidence_band"])
+    return rows.withColumn("confidence_score", F.expr("round(try_cast(confidence_score as double), 6)"))
 
 
 @query("jsonl_resume", "SELECT event_id, value FROM events WHERE event_type <> 'click'")
@@ -158,7 +181,9 @@ def jsonl_resume(spark, sf):
 def ragged_rows(spark, sf):
     a = table(spark, sf, "nation").selectExpr("cast(n_nationkey as long) as k", "n_name as name", "1 as _hidden")
     b = table(spark, sf, "region").selectExpr("cast(r_regionkey as long) as k", "r_name as extra")
-    return sinks.ragged_rows(a, b)
+    path = scratch(spark)
+    sinks.write_ragged_csv(path, a, b)
+    return spark.read.schema("k long, name string, extra string").option("header", True).csv(path)
 
 
 @query("summary_upsert", f"""WITH {CASE_DOCUMENTS_SQL} SELECT case_id, CASE WHEN max(doc_id) % 2 = 0 THEN count(*) * 10 ELSE count(*) END AS documents FROM case_documents GROUP BY 1""")
@@ -167,7 +192,8 @@ def summary_upsert(spark, sf):
     counts = case_documents(spark, sf).groupBy("case_id").agg(F.count(F.lit(1)).alias("documents"), F.max("created_ord").alias("m"))
     sinks.upsert_summaries(counts.select("case_id", "documents"), path)
     sinks.upsert_summaries(counts.filter("m % 2 = 0").select("case_id", (F.col("documents") * 10).alias("documents")), path)
-    return spark.read.schema("documents long, case_id string").parquet(path)
+    sinks.write_summary_json(spark, path, f"{path}-json")
+    return spark.read.schema("documents long, case_id string").json(f"{path}-json")
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -253,6 +279,11 @@ def model_rows(spark, sf):
     return model_replies(spark, sf).select("key", "attempts", "error", F.col("reply").isNotNull().alias("answered"))
 
 
+@query("model_traces", f"""WITH {WORDS_SQL} SELECT 'extract' AS stage, 'words' AS model, count(*) AS calls, count(*) FILTER (len(w) < 2) AS errors FROM w""")
+def model_traces(spark, sf):
+    return stage_usage(mm.call_traces(model_replies(spark, sf), "extract", "words")).select("stage", "model", "calls", "errors")
+
+
 @query("model_graph", f"""WITH {WORDS_SQL}, r AS (SELECT source AS case_id, trim(w[1]) AS src_id, trim(w[-1]) AS tgt_id, doc_id, len(w) AS n FROM w WHERE len(w) >= 2)
 SELECT case_id, src_id, tgt_id, 'MET_WITH' AS relation_type, arg_min(n, doc_id) || ' words' AS label FROM r GROUP BY 1, 2, 3""")
 def model_graph(spark, sf):

@@ -118,6 +118,13 @@ def er_merged_nodes(spark, sf):
         kept.select("node_id", F.lit(None).cast("string").alias("member_id"), F.col("entity_type").alias("summary")))
 
 
+@query("er_requests", """SELECT DISTINCT 'parts' AS case_id, o_orderkey AS request_id, 'P:' || (o_custkey * 2) AS source, 'P:' || o_orderkey AS target FROM orders WHERE o_custkey * 2 <> o_orderkey AND o_orderkey % 7 <> 0""")
+def er_requests(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr("'parts' as case_id", "o_orderkey as request_id", "' P:' || (o_custkey * 2) as source",
+                                                 "case when o_orderkey % 7 = 0 then '  ' else 'P:' || o_orderkey || ' ' end as target")
+    return er.merge_requests(rows.unionByName(rows))
+
+
 @query("er_unknown", """SELECT 'parts' AS case_id, o_orderkey AS request_id, 'P:' || (o_custkey * 2) AS node_id FROM orders WHERE o_custkey * 2 NOT IN (SELECT p_partkey FROM part)
 UNION SELECT 'parts', o_orderkey, 'P:' || o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT p_partkey FROM part)""")
 def er_unknown(spark, sf):

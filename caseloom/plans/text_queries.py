@@ -300,3 +300,8 @@ SELECT DISTINCT case_id, src_id, type, tgt_id, src_id || '__' || type || '__' ||
 def infer_triples(spark, sf):
     lines = table(spark, sf, "documents").select(F.col("source").alias("case_id"), F.explode(F.split("text", "\n")).alias("text"))
     return tp.infer_triples(lines)
+
+
+@query("inferred_entities", ORACLE["infer_triples"].replace("SELECT DISTINCT case_id, src_id, type, tgt_id, src_id || '__' || type || '__' || tgt_id AS relation_id FROM typed", "SELECT DISTINCT case_id, unnest([src_id, tgt_id]) AS entity_id FROM typed"))
+def inferred_entities(spark, sf):
+    return tp.inferred_entities(infer_triples(spark, sf))

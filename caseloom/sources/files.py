@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caseloom.functions.text import base_name, strip
 from caseloom.operators.search import is_text_file
-from caseloom.schemas import LINK, LINK_NODE, TABLES, VECTOR_RECORD
+from caseloom.schemas import LINK, LINK_NODE, VECTOR_RECORD
 
 GRAPHML_DATA = "data array<struct<_VALUE string, _key string>>"
 
@@ -143,11 +143,6 @@ def casepack_manifest(spark: SparkSession, folder: str, include: tuple[str, ...]
     return rows.orderBy(F.lower("file_name"), "file_name")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A metadata table with the columns of its schema; columns added later than a file are null."""
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
-
-
 def cached_results(spark: SparkSession, path: str, record: str) -> DataFrame:
     """{"queries": {id: record}} or the bare object as rows (file, query_id, fields)."""
     fields = f"map<string, struct<{_struct(record)}>>"
