@@ -32,8 +32,8 @@ def test_dates(spark, text, want):
 
 
 def test_low_value_images_are_dropped(spark):
-    def image(description, seen, area=5000):
-        return one(spark, tp.image_text(F.lit(description), F.lit(seen), F.lit(None).cast("string"), F.lit(area)))
+    def image(description, seen):
+        return one(spark, tp.image_text(F.lit(description), F.lit(seen), F.lit(None).cast("string")))
 
     assert image("A stylized letter on a map", "none") is None
     assert image("Aerial view of a street", "EXIT, exit\nPause") == "Image labels: EXIT\nVisual depiction: Aerial view of a street"
