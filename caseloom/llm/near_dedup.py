@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.llm.hashing import mix, shingle_hashes, word_hashes
-from caseloom.llm.words import SHINGLE, words_of
+from caseloom.llm.hashing import hashed_chunks, mix, run_hashes
+from caseloom.llm.words import SHINGLE
 from caseloom.session import cut_lineage
 
 SIMILARITY = 0.8
@@ -16,12 +18,23 @@ COORDINATES = BANDS * ROWS
 #: Expected darts per text: enough that an empty coordinate is rare; texts with one are thrown again over twice the range.
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 BATCH = 512
+#: Orders in which a bucket's ends are chosen, at least.
+TURNS = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def weighted_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a text and how often each occurs."""
-    return np.unique(shingle_hashes(word_hashes(words_of(text)), SHINGLE), return_counts=True)
+def weighted_shingles(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every text its distinct shingle hashes, ascending, and how often each occurs; a text of fewer words is one shingle."""
+    out = []
+    for at, to, words, owner in hashed_chunks(texts):
+        begins = np.searchsorted(owner, np.arange(to - at + 1))
+        runs = run_hashes(words, SHINGLE)
+        for a, b in zip(begins[:-1], begins[1:]):
+            own = runs[a:b - SHINGLE + 1] if b - a >= SHINGLE else run_hashes(words[a:b], b - a) if b > a else words[:0]
+            own = np.sort(own)
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            out.append((own[first], np.diff(np.append(first, len(own)))))
+    return out
 
 
 def throw(cells: np.ndarray, owner: np.ndarray, limit: np.ndarray):
@@ -79,9 +92,9 @@ def banded(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            ids, digests, texts = batch.column("doc_id"), batch.column("digest"), batch.column("text").to_pylist()
+            ids, digests, texts = batch.column("doc_id"), batch.column("digest"), batch.column("text")
             for a in range(0, len(texts), BATCH):
-                sets = [weighted_shingles(t) for t in texts[a:a + BATCH]]
+                sets = weighted_shingles(texts.slice(a, BATCH))
                 use = [i for i, (s, _) in enumerate(sets) if len(s)]
                 if use:
                     keys = band_keys(signatures([sets[i] for i in use]))
@@ -92,12 +105,11 @@ def banded(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, digest long, bands array<long>")
 
 
-def similarity(a: str, b: str) -> float:
-    """Exact weighted Jaccard likeness of two texts' shingles."""
-    (ha, ca), (hb, cb) = weighted_shingles(a), weighted_shingles(b)
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(ca[ia], cb[ib]).sum())
-    return shared / max(1, int(ca.sum() + cb.sum()) - shared)
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Exact weighted Jaccard likeness of two shingle sets."""
+    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = int(np.minimum(a[1][ia], b[1][ib]).sum())
+    return shared / max(1, int(a[1].sum() + b[1].sum()) - shared)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -105,9 +117,10 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            value = [similarity(x, y) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], ["a", "b", "likeness"])
+            for at in range(0, len(batch), BATCH):
+                part = batch.slice(at, BATCH)
+                value = [likeness(x, y) for x, y in zip(weighted_shingles(part.column("text_a")), weighted_shingles(part.column("text_b")))]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(value, pa.float64())], ["a", "b", "likeness"])
 
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = (
@@ -141,14 +154,18 @@ def components(edges: DataFrame) -> DataFrame:
     return own.join(edges.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("root"))
 
 
-def bucket_links(members: DataFrame) -> DataFrame:
+def bucket_links(members: DataFrame, turn: int) -> DataFrame:
     """Candidate pairs (a, b) from rows (doc_id, band, key, class): every member with the first and last of its bucket.
 
-    Buckets whose members are all of one class already are passed over; no pair within a class is made.
+    The order is that of the ids in turn 0 and another hash of them in every later turn. Buckets whose members are all of
+    one class already are passed over; no pair within a class is made.
     """
-    ends = members.groupBy("band", "key").agg(
-        F.min(F.struct("doc_id", "class")).alias("first"), F.max(F.struct("doc_id", "class")).alias("last"), F.min("class").alias("lo"), F.max("class").alias("hi"),
-    ).filter("lo < hi").drop("lo", "hi")
+    place = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+    member = F.struct(place.alias("place"), "doc_id", "class")
+    # written out, so that the join below can split a large bucket
+    ends = cut_lineage(members.groupBy("band", "key").agg(
+        F.min(member).alias("first"), F.max(member).alias("last"), F.min("class").alias("lo"), F.max("class").alias("hi"),
+    ).filter("lo < hi").drop("lo", "hi"))
     met = members.join(ends, ["band", "key"]).select("doc_id", "class", F.explode(F.array("first", "last")).alias("end"))
     return met.filter(F.col("end.class") != F.col("class")).select(F.greatest("doc_id", "end.doc_id").alias("a"), F.least("doc_id", "end.doc_id").alias("b")).distinct()
 
@@ -158,28 +175,29 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Equal texts (64 bits over the text and its SHA-256) are one text, known by its smallest doc_id copy_of. Texts
     meet where a band of their signatures agrees; a bucket's members are compared with its first and last member by exact
-    likeness, then, in buckets still of several classes, with those of other classes, until no new link is found.
+    likeness; buckets still of several classes take another order and so other ends, at least TURNS times and as long
+    as new links are found.
     Null texts and texts without words are classes of their own; a repeated row has its row's class.
     """
     marked = cut_lineage(banded(docs))
-    copies = marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    members = cut_lineage(copies.select("doc_id", F.posexplode("bands").alias("band", "key")))
+    copies = cut_lineage(marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    members = copies.select("doc_id", F.posexplode("bands").alias("band", "key"))
     links, root, tried = None, None, None
-    while True:
+    for turn in count():
         if root is None:
             classed = members.withColumn("class", F.col("doc_id"))
         else:
             classed = members.join(root.withColumnsRenamed({"node": "doc_id", "root": "class"}), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-        pairs = bucket_links(classed)
+        pairs = bucket_links(classed, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            break
-        found = cut_lineage(verified(pairs, docs, least))
+        found = None if pairs.isEmpty() else cut_lineage(verified(pairs, docs, least))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.isEmpty():
-            break
+        if found is None or found.isEmpty():
+            if turn + 1 >= TURNS:
+                break
+            continue
         links = found if links is None else links.unionByName(found)
         root = cut_lineage(components(links))
     of = marked.select("doc_id", "digest").join(copies.select("digest", F.col("doc_id").alias("copy_of")), "digest").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
@@ -193,5 +211,5 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def near_stage(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class of near copies: the one with the smallest doc_id; rows without an id stay."""
-    classes = near_classes(docs, least).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
+    copies = near_classes(docs, least).filter("doc_id <> class_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")

@@ -6,11 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from caseloom.llm.frames import carry, restore
-from caseloom.llm.hashing import run_hashes, word_hashes
+from caseloom.llm.hashing import GOLDEN, hashed_chunks, mix, powers, run_hashes
 from caseloom.llm.words import words_of
+from caseloom.session import cut_lineage
 
 #: Words of a window: the least length of a removed passage.
 WINDOW = 13
@@ -18,8 +19,6 @@ WINDOW = 13
 ANCHOR = 4
 #: Windows of one segment at most; longer runs of windows with one anchor continue in another segment.
 SEGMENT = 64
-#: Anchors with more segments than this name their windows one by one, so that no shard grows with a common passage.
-SHARD_SEGMENTS = 256
 
 
 class SuffixAutomaton:
@@ -106,121 +105,197 @@ def first_documents(segments: list[tuple[list[str], int]], window: int = WINDOW)
     return [[d for n, (_, d) in enumerate(automaton.statistics(words, window)) if n >= window - 1] for words, _ in segments]
 
 
-def anchored_runs(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
-    """Runs of neighbouring windows with one anchor: (anchor, first window, number of windows). Equal windows have equal anchors."""
+def anchored_runs(words: np.ndarray, owner: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
+    """Runs of neighbouring windows with one anchor: (anchor, text, first window, number of windows).
+
+    words and owner are the word hashes of several texts in order and the text of each; no window spans two texts.
+    Equal windows have equal anchors.
+    """
     least = run_hashes(words, anchor)
     if len(words) < window:
-        return least[:0].view(np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     span, wanted = 1, window - anchor + 1
     while span < wanted:
         step = min(span, wanted - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    whole = np.flatnonzero(owner[window - 1:] == owner[: len(least)])
+    least, text = least[whole], owner[whole]
+    if not len(whole):
+        return (np.zeros(0, np.int64),) * 4
+    first_word = np.searchsorted(owner, text)
+    begins = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
     sizes = np.diff(np.append(begins, len(least)))
     if sizes.max() > SEGMENT:
         parts = -(-sizes // SEGMENT)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         begins, ends = np.repeat(begins, parts) + nth * SEGMENT, np.repeat(begins + sizes, parts)
         sizes = np.minimum(SEGMENT, ends - begins)
-    return least[begins].view(np.int64), begins, sizes
+    return least[begins].view(np.int64), text[begins], (whole - first_word)[begins], sizes
+
+
+def run_contents(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from begin to end of each run, by differences of one running polynomial; equal words, equal hash."""
+    up, down = powers(len(words) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(words ^ np.uint64(GOLDEN)) * up[: len(words)])])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+
+
+def _numbered(batch: pa.RecordBatch):
+    """For ranges of a batch's texts: the word hashes, the text of each word, its first word, and per text doc_id, _row and whether it counts."""
+    ids, rows = batch.column("doc_id"), batch.column("_row").to_numpy()
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    ids = ids.fill_null(0).to_numpy()
+    for at, to, words, owner in hashed_chunks(batch.column("text")):
+        yield words, owner, np.searchsorted(owner, np.arange(to - at)), ids[at:to], rows[at:to], known[at:to]
+
 
+def _is_in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(ascending, values), max(0, len(ascending) - 1))
+    return ascending[at] == values if len(ascending) else np.zeros(len(values), dtype=bool)
 
-def _runs(batches):
+
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names.split())
+
+
+RUNS = "anchor content doc_id _row place"
+
+
+def _runs(batches, frequent: np.ndarray):
+    """Runs whose anchor is not frequent; place holds the first window and, in its low byte, the number of windows less one."""
     for batch in batches:
-        ids, rows = batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist()
-        found: list[list[np.ndarray]] = [[], [], [], [], []]
-        for doc, row, text in zip(ids, rows, batch.column("text").to_pylist()):
-            if doc is None or not text:
-                continue
-            anchor, begin, size = anchored_runs(word_hashes(words_of(text)))
-            for column, part in zip(found, (anchor, np.full(len(anchor), doc), np.full(len(anchor), row), begin, size)):
-                column.append(part)
-        if found[0]:
-            arrays = [np.concatenate(c) for c in found]
-            yield pa.RecordBatch.from_arrays([*(pa.array(a.astype(np.int64)) for a in arrays[:3]), *(pa.array(a.astype(np.int32)) for a in arrays[3:])], ["anchor", "doc_id", "_row", "at", "size"])
+        for words, owner, first, ids, rows, known in _numbered(batch):
+            anchor, text, begin, size = anchored_runs(words, owner)
+            keep = known[text] & ~_is_in(anchor, frequent)
+            anchor, text, begin, size = anchor[keep], text[keep], begin[keep], size[keep]
+            start = first[text] + begin
+            content = run_contents(words, start, start + size + WINDOW - 1)
+            yield _batch(RUNS, anchor, content, ids[text], rows[text], (begin << 8) | (size - 1))
 
 
-def _segments(batches):
-    """Words of the runs whose anchors other documents share; runs of common anchors window by window."""
+def _frequent_windows(batches, frequent: np.ndarray):
+    """The single windows of runs with a frequent anchor, by the hash of their words."""
     for batch in batches:
-        out = []
-        for doc, row, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "text", "_runs"))):
-            if not runs:
-                continue
-            words = words_of(text)
-            for run in runs:
-                at, size = run["at"], run["size"]
-                if run["common"]:
-                    hashes = run_hashes(word_hashes(words[at:at + size + WINDOW - 1]), WINDOW).view(np.int64).tolist()
-                    out += [(h, doc, row, at + k, " ".join(words[at + k:at + k + WINDOW])) for k, h in enumerate(hashes)]
-                else:
-                    out.append((run["anchor"], doc, row, at, " ".join(words[at:at + size + WINDOW - 1])))
-            if len(out) > 20_000:
-                yield _segment_batch(out)
-                out = []
-        if out:
-            yield _segment_batch(out)
+        for words, owner, first, ids, rows, known in _numbered(batch):
+            anchor, text, begin, size = anchored_runs(words, owner)
+            keep = known[text] & _is_in(anchor, frequent)
+            text, begin, size = text[keep], begin[keep], size[keep]
+            window = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+            text = np.repeat(text, size)
+            start = first[text] + window
+            content = run_contents(words, start, start + WINDOW)
+            yield _batch("content doc_id _row place", content, ids[text], rows[text], window << 8)
 
 
-def _segment_batch(rows):
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["anchor", "doc_id", "_row", "at", "segment"])
+def _segments(batches):
+    """Words of the runs that stand for their shard's distinct segments."""
+    for batch in batches:
+        lists = batch.column("_runs")
+        sizes = lists.value_lengths().fill_null(0).to_numpy()
+        anchors, contents, places = (lists.flatten().field(k).to_numpy() for k in range(3))
+        ends = np.cumsum(sizes)
+        texts, docs, out = batch.column("text"), batch.column("doc_id"), []
+        for i in np.flatnonzero(sizes):
+            words, doc = words_of(texts[i].as_py()), docs[i].as_py()
+            for k in range(ends[i] - sizes[i], ends[i]):
+                at, size = int(places[k]) >> 8, (int(places[k]) & 255) + 1
+                out.append((anchors[k], contents[k], " ".join(words[at:at + size + WINDOW - 1]), doc))
+        if out:
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["anchor", "content", "segment", "lo"])
 
 
 def _shards(batches):
     """Rows sorted by anchor; each anchor's segments make one automaton, through which the same segments are streamed."""
 
     def solved(anchor, rows):
-        parts = [(s.split(" "), d) for s, d in rows]
-        return [(anchor, s, f) for (s, _), f in zip(rows, first_documents(parts))]
+        firsts = first_documents([(s.split(" "), lo) for _, s, lo in rows])
+        return [(anchor, c, f) for (c, _, _), f in zip(rows, firsts)]
 
     def packed(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.list_(pa.int64())))], ["anchor", "segment", "firsts"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["anchor", "content", "firsts"])
 
     current, rows, out = None, [], []
     for batch in batches:
-        for anchor, segment, first in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "first"))):
+        for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "segment", "lo"))):
             if anchor != current:
-                if rows:
-                    out += solved(current, rows)
-                    if len(out) > 10_000:
-                        yield packed(out)
-                        out = []
+                out += solved(current, rows)
+                if len(out) > 10_000:
+                    yield packed(out)
+                    out = []
                 current, rows = anchor, []
-            rows.append((segment, first))
-    if rows:
-        out += solved(current, rows)
+            rows.append(row)
+    out += solved(current, rows)
     if out:
         yield packed(out)
 
 
+#: One document in so many is looked at for anchors that very many documents share, and so many of those are remembered.
+SAMPLE, MOST_FREQUENT = 50, 100_000
+#: Times an anchor must occur in the sample to count as frequent: a shard of a rarer one has some 25 000 segments at most.
+FREQUENT = 500
+
+
+def frequent_anchors(numbered: DataFrame) -> np.ndarray:
+    """The most frequent anchors of a sample of documents, ascending: at most MOST_FREQUENT, 8 bytes each.
+
+    Runs of every other anchor are few and can meet in one place. The result does not depend on which anchors are found.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    sample = numbered.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SAMPLE)) == 0)
+    runs = sample.mapInArrow(lambda batches: _runs(batches, none), _schema(RUNS))
+    counted = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    return np.sort(counted.orderBy(F.desc("n"), "anchor").limit(MOST_FREQUENT).toArrow().column("anchor").to_numpy())
+
+
+def _schema(names: str) -> str:
+    # never null, so that joins add no filters and all uses of the runs share one shuffle
+    return ", ".join(f"{n} long not null" for n in names.split())
+
+
 def marked_windows(docs: DataFrame) -> DataFrame:
-    """docs with _row (a hash of the text, which tells rows of one id apart) and _windows: starts of windows that an earlier document has.
+    """docs with _row (a hash of the text, which tells rows of one id apart) and _windows: windows that an earlier document has.
 
-    1. Runs of windows meet by anchor; only anchors of two or more documents go on (numbers only, minima combine before the shuffle).
-    2. Their words are cut out and equal segments become one with its smallest document.
-    3. Shards of at most SHARD_SEGMENTS segments build automata; every segment streams through its shard's.
-    4. Each occurrence compares its own document with the window's first. The documents' own shuffle is shared by 2 and the result.
+    An entry of _windows holds a first window and, in its low byte, the number of windows less one.
+
+    1. Runs of windows meet by anchor, in numbers only. A shard whose runs all have the same words needs no automaton: all
+       but its first document lose them.
+    2. In other shards one run stands for each distinct segment; its words are cut out of its text and build the shard's
+       automaton, through which the segments are streamed. Every run of the shard then compares its document with the
+       first document of each of its windows.
+    3. Anchors that a sample shows to be frequent would make large shards. Their windows are shards of their own, each of
+       one segment, whose first document is a minimum that combines on the map side.
     """
     rows = docs.withColumn("_row", F.xxhash64("text"))
-    runs = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text").mapInArrow(_runs, "anchor long, doc_id long, _row long, at int, size int")
-    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    met = runs.join(shared.select("anchor", (F.col("n") > SHARD_SEGMENTS).alias("common")), "anchor")
-    own = met.groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_r")).agg(F.collect_set(F.struct("anchor", "at", "size", "common")).alias("_runs"))
-    keyed = lambda right, d, r: rows.join(right, (rows["doc_id"] == right[d]) & (rows["_row"] == right[r]), "left").drop(d, r)
-    # all columns go into the task, so that this join and the last one read the same shuffle of the documents
-    cut = keyed(own, "_doc", "_r").mapInArrow(_segments, "anchor long, doc_id long, _row long, at int, segment string")
-    distinct = cut.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"))
-    solved = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "anchor long, segment string, firsts array<long>")
-    known = solved.select("anchor", F.xxhash64("segment").alias("s"), "firsts")
-    places = cut.select("anchor", F.xxhash64("segment").alias("s"), "doc_id", "_row", "at").join(known, ["anchor", "s"])
-    removed = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("at") + i)), lambda x: x.isNotNull())
-    marks = (
-        places.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_r"), removed.alias("w")).filter(F.size("w") > 0)
-        .groupBy("_doc", "_r").agg(F.flatten(F.collect_set("w")).alias("_windows"))
+    numbered = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text")
+    frequent = frequent_anchors(numbered)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shard, segment = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content").orderBy("doc_id", "_row", "place")
+    met = (
+        numbered.mapInArrow(lambda batches: _runs(batches, shared.value), _schema(RUNS))
+        .withColumns({"lo": F.min("doc_id").over(shard), "hi": F.max("doc_id").over(shard), "alone": F.min("content").over(shard) == F.max("content").over(shard)})
+        .filter("lo < hi")
     )
-    return keyed(marks, "_doc", "_r")
+    # runs lie by anchor already, which keeps equal segments together as well
+    own = met.filter("not alone").withColumn("nth", F.row_number().over(segment)).filter("nth = 1").groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_r")).agg(
+        F.collect_list(F.struct("anchor", "content", "place")).alias("_runs"))
+    keyed = lambda right, d, r: rows.join(right, (rows["doc_id"] == right[d]) & (rows["_row"] == right[r]), "left").drop(d, r)
+    # all columns go into the tasks, so that this join and the last one read the same shuffle of the documents
+    cut = keyed(own, "_doc", "_r").mapInArrow(_segments, "anchor long, content long, segment string, lo long")
+    solved = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "anchor long, content long, firsts array<long>")
+    at = F.shiftright("place", 8)
+    late = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.shiftleft(at + i, 8))), lambda x: x.isNotNull())
+    places = met.filter("not alone").select("anchor", "content", "doc_id", "_row", "place").join(solved, ["anchor", "content"])
+    marks = places.select("doc_id", "_row", late.alias("w")).unionByName(
+        met.filter("alone and lo < doc_id").select("doc_id", "_row", F.array("place").alias("w")))
+    if len(frequent):
+        windows = numbered.mapInArrow(lambda batches: _frequent_windows(batches, shared.value), _schema("content doc_id _row place"))
+        # written out, so that the join below can split a window that very many documents have
+        first = cut_lineage(windows.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
+        marks = marks.unionByName(windows.join(first, "content").filter("first < doc_id").select("doc_id", "_row", F.array("place").alias("w")))
+    lists = marks.filter(F.size("w") > 0).groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_r")).agg(F.flatten(F.collect_set("w")).alias("_windows"))
+    return keyed(lists, "_doc", "_r")
 
 
 def kept_words(text: str | None, windows) -> tuple[list[str], int]:
@@ -229,9 +304,9 @@ def kept_words(text: str | None, windows) -> tuple[list[str], int]:
     if not windows:
         return words, len(words)
     cover = np.zeros(len(words) + 1, dtype=np.int64)
-    starts = np.unique(np.asarray(windows, dtype=np.int64))
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + WINDOW, -1)
+    marks = np.asarray(windows, dtype=np.int64)
+    np.add.at(cover, marks >> 8, 1)
+    np.add.at(cover, (marks >> 8) + (marks & 255) + WINDOW, -1)
     covered = np.cumsum(cover[:-1]) > 0
     return [w for w, c in zip(words, covered.tolist()) if not c], len(words)
 

@@ -62,8 +62,9 @@ def test_automaton_finds_every_window():
                 assert f == min(d for d, w in enumerate(lists) if any(w[k:k + 4] == words[i:i + 4] for k in range(len(w) - 3)))
 
 
-def test_common_anchors_go_window_by_window(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", 2)
+def test_frequent_anchors_go_window_by_window(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 3)
     common = [f"w{i}" for i in range(20)]
     data = [(d, " ".join([f"a{d}", f"b{d}", *common, f"c{d}"])) for d in range(8)]
     got = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()}
