@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.llm.units import UnitMemory
 from caseloom.llm.words import WORD
 from caseloom.session import cut_lineage
 
@@ -19,45 +20,40 @@ LENGTH = 4096
 END_ID = 2
 #: Tokens of one random group; its lengths are packed in one task, about 100 000 rows of a few numbers at most for long-run averages.
 GROUP_TOKENS = 512 * LENGTH
-#: Distinct words remembered per worker process; when full the memory starts anew.
-REMEMBER = 600_000
 SPECIAL = "<|endoftext|>"
 AT_ONCE = 256
 # one run of Latin letters is one unit of the tokenizer and so ends in exactly one word-end token
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# the units of a lower-case Latin-1 text without apostrophes: runs of letters, and runs of other marks between blanks
+UNITS = re.compile("[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ\t\n\x0b\x0c\r \x85\xa0]+")
 # what str.split() takes for blanks and the tokenizer does not
 NOT_BLANK = re.compile("[\x1c-\x1f]")
 
 
-class WordEncoder:
-    """Ids of texts whose tokens never cross blanks: every distinct word is encoded once and texts are put together from words."""
+class WordEncoder(UnitMemory):
+    """Ids by a tokenizer whose tokens never cross blanks, for texts put together from distinct units."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SPECIAL)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _encoded(self, words: list[str], glue: str) -> list[np.ndarray]:
         joined = [glue.join(words[k:k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of new words: plain ones in one go between blanks, others between special tokens or alone."""
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        parted = [w for w in words if not PLAIN.fullmatch(w) and "<|" not in w]
-        odd = [w for w in words if "<|" in w]
-        chunks, sizes = [self.flat], []
+    def learn(self, units: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+        """Plain units are encoded together between blanks, others between special tokens or alone."""
+        plain = [u for u in units if PLAIN.fullmatch(u)]
+        parted = [u for u in units if not PLAIN.fullmatch(u) and "<|" not in u]
+        odd = [u for u in units if "<|" in u]
+        chunks, sizes = [], []
         for ids in self._encoded(plain, " "):
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             chunks.append(ids)
@@ -66,36 +62,28 @@ class WordEncoder:
             cuts = np.flatnonzero(ids == self.separator)
             chunks.append(np.delete(ids, cuts))
             sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-        for w in odd:
-            own = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
+        for u in odd:
+            own = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype=np.uint32)
             chunks.append(own)
             sizes.append(np.array([len(own)]))
-        size = np.concatenate(sizes).astype(np.int64)
-        if len(size) != len(words):
-            raise ValueError("the tokenizer parts words in another way than expected")
-        base = len(self.flat)
-        for w in plain + parted + odd:
-            self.number[w] = len(self.number)
-        self.flat = np.concatenate(chunks)
-        self.start, self.size = np.concatenate([self.start, base + np.cumsum(size) - size]), np.concatenate([self.size, size])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [WORD.findall(t) if NOT_BLANK.search(t) else t.split() for t in texts]
-        new = dict.fromkeys(w for ws in words for w in ws if w not in self.number)
-        if len(self.number) + len(new) > REMEMBER:
-            self.forget()
-            new = dict.fromkeys(w for ws in words for w in ws)
-        if new:
-            self.learn(list(new))
-        known = self.number
-        return [self.together(np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws))) for ws in words]
-
-    def together(self, numbers: np.ndarray) -> np.ndarray:
-        sizes = self.size[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = np.repeat(self.start[numbers] - (ends - sizes), sizes)
-        return self.flat[np.arange(total) + shift]
+        return plain + parted + odd, chunks, np.concatenate(sizes).astype(np.int64)
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """Pieces of a text that the tokenizer encodes on their own, as few different ones as is safe.
+
+        In Latin-1 its lower case and its letters are those of Python, so such texts part at every border of letters;
+        others, and texts with contractions, part at blanks only.
+        """
+        try:
+            plain = "<|" not in text and (text.isascii() or bool(text.encode("latin-1")))
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            text = text.lower()
+            if "'" not in text:
+                return UNITS.findall(text)
+        return WORD.findall(text) if NOT_BLANK.search(text) else text.split()
 
 
 @lru_cache(1)
