@@ -20,7 +20,7 @@ LANDMARKS = 192
 RIDGE = 1e-4
 BLOCK = 64
 #: Below this share of the positive class scores a text counts as no language at all.
-MIN_SCORE = 0.3
+MIN_SCORE = 0.2
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 # ASCII other than letters carries no language and becomes a blank
