@@ -185,7 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).filter(train)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    rows = docs.select("doc_id", "text").join(marked, "doc_id")
+    # one way of joining at every size: labels grow with the documents
+    labelled = marked.hint("merge")
+    rows = docs.select("doc_id", "text").join(labelled, "doc_id")
     counts = cut_lineage(rows.filter(~held).select("text", "toxic").mapInArrow(_count, "gram long, c1 long, c0 long").groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")))
     sums = counts.agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).first()
     if not sums.c1 or not sums.c0:
@@ -194,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     model = Model(slotted(seen, GRAM_SLOTS), slotted(unseen, CONTEXT_SLOTS))
     # the texts the curve is fitted on, chosen by hash
     picked = marked.filter(held).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
-    sample = ratio_rows(docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic"), model).select("ratio", "toxic").toArrow()
+    sample = ratio_rows(docs.select("doc_id", "text").join(picked.hint("merge"), "doc_id").select("text", "toxic"), model).select("ratio", "toxic").toArrow()
     y = sample.column("toxic").to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         model.slope, model.offset = logistic(sample.column("ratio").to_numpy(), y)
