@@ -9,7 +9,7 @@ class UnitMemory:
     """Subclasses say how a text parts into units that are encoded on their own, and how new units are encoded."""
 
     #: Units remembered per worker process; when full the memory starts anew.
-    remember = 600_000
+    remember = 150_000
 
     def __init__(self):
         self.forget()
