@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructType
 
 OWN = ("doc_id", "text", "n_chars")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows from now on: with long texts a batch is most of what a Python worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def _name(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 

@@ -17,7 +17,7 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Expected darts per text: enough that an empty coordinate is rare; texts with one are thrown again over twice the range.
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
-BATCH = 512
+BATCH = 256
 #: Orders in which a bucket's ends are chosen, at least.
 TURNS = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caseloom.llm import fingerprints, language_id, near_dedup, packing, pii, quality, secrets, sentencepiece, substring_dedup, toxicity
+from caseloom.llm.frames import small_batches
 
 #: Folder of the public tokenizer files; None takes that of the installed package.
 TOKENIZERS: str | None = None
@@ -55,6 +56,7 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of every whole text, a digest of their ids, and whether decoding gives the text back."""
+    small_batches(spark)
     path = tokenizer_path("piece_bpe_32k.model")
     rows = sentencepiece.decode(sentencepiece.encode(documents(spark, sf).select("doc_id", "text"), path), path)
     return rows.select(
