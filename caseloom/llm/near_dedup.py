@@ -20,6 +20,8 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 BATCH = 256
 #: Orders in which a bucket's ends are chosen, at least.
 TURNS = 3
+#: Slots of the table of shingle frequencies that every task holds while rest pairs are sought, 8 bytes each.
+SLOTS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,10 +159,10 @@ def components(edges: DataFrame) -> DataFrame:
 def bucket_links(members: DataFrame, turn: int) -> DataFrame:
     """Candidate pairs (a, b) from rows (doc_id, band, key, class): every member with the first and last of its bucket.
 
-    The order is that of the ids in turn 0 and another hash of them in every later turn. Buckets whose members are all of
-    one class already are passed over; no pair within a class is made.
+    The order is that of the ids in turn 0 and in every later turn another hash of them, a different one in each band.
+    Buckets whose members are all of one class already are passed over; no pair within a class is made.
     """
-    place = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+    place = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn), "band")
     member = F.struct(place.alias("place"), "doc_id", "class")
     # written out, so that the join below can split a large bucket
     ends = cut_lineage(members.groupBy("band", "key").agg(
@@ -170,36 +172,111 @@ def bucket_links(members: DataFrame, turn: int) -> DataFrame:
     return met.filter(F.col("end.class") != F.col("class")).select(F.greatest("doc_id", "end.doc_id").alias("a"), F.least("doc_id", "end.doc_id").alias("b")).distinct()
 
 
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """Number of texts per slot of shingles. It only orders shingles, rare ones first; sharing a slot costs time, not pairs."""
+
+    def count_slots(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for own, _ in weighted_shingles(batch.column("text")):
+                np.add.at(total, (own % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        for a in range(0, len(used), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(used[a:a + 50_000]), pa.array(total[used[a:a + 50_000]])], ["slot", "n"])
+
+    got = texts.select("text").mapInArrow(count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, dtype=np.int64)
+    table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return table
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(doc_id, class, weight, shingle, start, short): the rarest shingles of every text, in one order for all texts.
+
+    start is the weight before the shingle in that order. Of two texts alike enough, the lighter one has a shingle of the
+    other's prefix among its own marked short: otherwise the shared weight would be too small.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(frequencies(texts))
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, len(batch), BATCH):
+                part, out = batch.slice(at, BATCH), []
+                for i, (own, counts) in enumerate(weighted_shingles(part.column("text"))):
+                    order = np.lexsort((own, shared.value[(own % np.uint64(SLOTS)).astype(np.int64)]))
+                    weight = int(counts.sum())
+                    start = np.cumsum(counts[order]) - counts[order]
+                    reach = lambda share: weight - np.ceil(share * weight - 1e-9) + 1
+                    n = int(np.searchsorted(start, reach(least)))
+                    out.append((np.full(n, i), np.full(n, weight), own[order[:n]].view(np.int64), start[:n], start[:n] < reach(2 * least / (1 + least))))
+                i, weight, shingle, start, short = (np.concatenate(x) for x in zip(*out))
+                for a in range(0, len(i), 50_000):
+                    piece = pa.array(i[a:a + 50_000])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(piece), part.column("class").take(piece), *(pa.array(x[a:a + 50_000]) for x in (weight, shingle, start, short))], names)
+
+    names = ["doc_id", "class", "weight", "shingle", "start", "short"]
+    return texts.select("doc_id", "class", "text").mapInArrow(cut, "doc_id long, class long, weight long, shingle long, start long, short boolean").distinct()
+
+
+def rest_pairs(members: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of different classes that can be alike enough, among texts of buckets that hold several classes.
+
+    Prefix and position filters lose no pair. A text of only common shingles meets others by its rarest ones;
+    members of one class never meet each other.
+    """
+    several = members.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
+    left = members.join(several, ["band", "key"], "left_semi").select("doc_id", "class").distinct()
+    left = cut_lineage(left)
+    if left.isEmpty():
+        return left.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut_lineage(prefixes(texts.join(left, "doc_id"), least))
+    light = rows.filter("short").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "class", "weight", "start")])
+    heavy = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "class", "weight", "start")])
+    # classes first, so that the copies of one class make no pairs
+    meet = light.select("shingle", "class_a").distinct().join(heavy.select("shingle", "class_b").distinct(), "shingle").filter("class_a <> class_b")
+    both = light.join(meet, ["shingle", "class_a"]).join(heavy, ["shingle", "class_b"])
+    lighter = (F.col("weight_a") < F.col("weight_b")) | ((F.col("weight_a") == F.col("weight_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
+    most = F.least(F.col("weight_a") - F.col("start_a"), F.col("weight_b") - F.col("start_b"))
+    needed = F.lit(least / (1 + least)) * (F.col("weight_a") + F.col("weight_b")) - 1e-6
+    near = both.filter(lighter & (F.col("weight_a") >= F.col("weight_b") * least - 1e-6) & (most >= needed))
+    return near.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of) for every row with an id: class_id is the smallest doc_id of its group of near copies.
 
     Equal texts (64 bits over the text and its SHA-256) are one text, known by its smallest doc_id copy_of. Texts
     meet where a band of their signatures agrees; a bucket's members are compared with its first and last member by exact
     likeness; buckets still of several classes take another order and so other ends, at least TURNS times and as long
-    as new links are found.
+    as new links are found. Then the texts of buckets still of several classes are compared with every text of another class
+    that can be alike enough (rest_pairs), so that no pair of a bucket stays untested.
     Null texts and texts without words are classes of their own; a repeated row has its row's class.
     """
     marked = cut_lineage(banded(docs))
     copies = cut_lineage(marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     members = copies.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    links, root, tried = None, None, None
+    links, root, tried, last = None, None, None, False
     for turn in count():
         if root is None:
             classed = members.withColumn("class", F.col("doc_id"))
         else:
             classed = members.join(root.withColumnsRenamed({"node": "doc_id", "root": "class"}), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-        pairs = bucket_links(classed, turn)
+        pairs = rest_pairs(classed, docs, least) if last else bucket_links(classed, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         found = None if pairs.isEmpty() else cut_lineage(verified(pairs, docs, least))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found is None or found.isEmpty():
-            if turn + 1 >= TURNS:
+            if last:
                 break
+            last = turn + 1 >= TURNS
             continue
         links = found if links is None else links.unionByName(found)
         root = cut_lineage(components(links))
+        if last:
+            break
     of = marked.select("doc_id", "digest").join(copies.select("digest", F.col("doc_id").alias("copy_of")), "digest").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
     if root is not None:
         of = of.join(root.withColumnsRenamed({"node": "copy_of", "root": "class_id"}), "copy_of", "left")
