@@ -21,6 +21,9 @@ RIDGE = 1e-4
 BLOCK = 64
 #: Below this share of the positive class scores a text counts as no language at all.
 MIN_SCORE = 0.2
+#: Least lead of the winner's raw score (about 1 where its language is sure, -1 where another's is) over the second one's.
+#: The share above cannot be low with few languages; in an unknown one all raw scores are alike.
+MIN_MARGIN = 0.25
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 # ASCII other than letters carries no language and becomes a blank
@@ -105,10 +108,11 @@ def fit(docs: DataFrame, train: Column, rows: int = TRAIN_ROWS, landmarks: int =
 
 
 def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
-    """lang_pred and score beside the columns of docs (text only on demand), one row per input row, from whole texts.
+    """lang_pred, score and margin beside the columns of docs (text only on demand), one row per input row, from whole texts.
 
-    score is the winner's share of the positive parts. A null text or one without a letter is `und` with score 0;
-    so is every text when nothing could be learned. Columns of docs named like the results are replaced.
+    score is the winner's share of the positive parts, margin its raw score's lead over the second (over 0 where a single
+    language was learned). A null text or one without a letter is `und` with score and margin 0; so is every text when
+    nothing could be learned. Columns of docs named like the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -116,22 +120,25 @@ def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> Da
         m = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            names, scores, margins = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if t and m and LETTER.search(t)]
             for k in range(0, len(at), BLOCK):
                 part = at[k:k + BLOCK]
-                positive = np.maximum((m.scores([texts[i] for i in part]) + 1) / 2, 0)
+                raw = m.scores([texts[i] for i in part])
+                ranked = np.sort(raw, axis=1)
+                margins[part] = ranked[:, -1] - (ranked[:, -2] if len(m.languages) > 1 else 0)
+                positive = np.maximum((raw + 1) / 2, 0)
                 best = positive.argmax(axis=1)
                 top = positive.max(axis=1) / np.maximum(positive.sum(axis=1), 1e-9)
                 for i, b, s in zip(part, best, top):
                     names[i], scores[i] = m.languages[b], s
             kept = batch.select(fields)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*fields, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], [*fields, "lang_pred", "score", "margin"])
 
-    return through_tasks(docs, label, "lang_pred string, score double", () if keep_text else ("text",))
+    return through_tasks(docs, label, "lang_pred string, score double, margin double", () if keep_text else ("text",))
 
 
-def language_stage(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+def language_stage(docs: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN) -> DataFrame:
     """Documents with a recognised language, columns as they are; the labels of docs itself teach the model."""
     kept = predict(carry(docs), fit(docs, F.lit(True)), keep_text=True)
-    return restore(kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs)
+    return restore(kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & (F.col("margin") >= min_margin)), docs)
