@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field as default
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ EVIDENCE = re.compile(r"[0-9@]")
 #: Log-odds against a label where the base pattern of a kind did not match; a repeated labelled token outweighs it.
 DOUBT = 5.0
 CLAMP = 12.0
-ROUNDS = 12
+#: Message rounds at most, and the change in nats below which they end.
+ROUNDS, SETTLED = 500, 1e-4
 #: Least marginal probability of an added span, and least length of a token that repeats meaningfully.
 SURE, LEAST_KEY = 0.9, 5
 SMOOTH = 0.5
@@ -73,13 +74,18 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Graph:
-    """The tokens of a text that carry a digit, an @ or a base label; edges join neighbours and repeated tokens."""
+    """The tokens of a text that carry a digit, an @ or a base label; edges join neighbours and repeated tokens.
+
+    skip joins a repeat to the occurrence before it, hub to the first labelled one of its key (or else the first), so that
+    no repeat is far from a label.
+    """
 
     tokens: list[tuple[int, int]]
     shapes: list[str]
     labels: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    hub: list[tuple[int, int]] = default(default_factory=list)
 
 
 def shape(token: str, before: str) -> str:
@@ -100,7 +106,7 @@ def key(token: str) -> str:
 def token_graph(text: str, base: list[Span]) -> Graph:
     g = Graph([], [], [], [], [])
     spans = sorted(base, key=lambda s: s[1])
-    last, before, seen, at = -1, "", {}, 0
+    last, before, seen, at = -1, "", defaultdict(list), 0
     for n, m in enumerate(WORD.finditer(text)):
         a, b = m.span()
         while at < len(spans) and spans[at][2] <= a:
@@ -117,10 +123,18 @@ def token_graph(text: str, base: list[Span]) -> Graph:
             keys = {key(m[0])} | ({key(m[0].split("@")[0])} if "@" in m[0] else set())
             for k in keys:
                 if len(k) >= LEAST_KEY:
-                    if k in seen:
-                        g.skip.append((seen[k], i))
-                    seen[k] = i
+                    if seen[k]:
+                        g.skip.append((seen[k][-1], i))
+                    seen[k].append(i)
         before = m[0]
+    joined_already = set(g.skip)
+    for places in seen.values():
+        centre = next((i for i in places if g.labels[i]), places[0])
+        for i in places:
+            edge = (min(i, centre), max(i, centre))
+            if i != centre and edge not in joined_already:
+                joined_already.add(edge)
+                g.hub.append(edge)
     return g
 
 
@@ -191,14 +205,20 @@ def fit(docs: DataFrame) -> Field:
 
 
 def marginals(g: Graph, field: Field) -> np.ndarray:
-    """Sum-product loopy message passing over chain and skip edges; rows are tokens, columns labels."""
+    """Sum-product loopy message passing over chain, skip and hub edges until it settles; rows are tokens, columns labels.
+
+    Base labels are evidence: many unlabelled repeats together do not outvote one.
+    """
     n, k = len(g.tokens), len(LABELS)
     node = np.stack([field.unary.get(s, field.unknown) for s in g.shapes])
     given = np.array(g.labels)
     doubt = np.full(k, -DOUBT)
     doubt[0] = 0
     node = node + np.where((given > 0)[:, None], CLAMP * np.eye(k)[given], doubt)
-    edges = [(i, j, 0) for i, j in g.chain] + [(i, j, 1) for i, j in g.skip]
+    # many repeats pull at a hub, so what it was given holds whatever their number
+    pulls = np.bincount(np.array([i for e in (*g.skip, *g.hub) for i in e], dtype=np.int64), minlength=n)
+    node = node + np.where((given > 0)[:, None], (field.agree * pulls)[:, None] * np.eye(k)[given], 0)
+    edges = [(i, j, 0) for i, j in g.chain] + [(i, j, 1) for i, j in (*g.skip, *g.hub)]
     if edges:
         same = field.agree * np.eye(k)
         pair = np.stack([same if s else field.chain for _, _, s in edges])
@@ -215,7 +235,10 @@ def marginals(g: Graph, field: Field) -> np.ndarray:
             peak = score.max(axis=1)
             new = peak + np.log(np.exp(score - peak[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
+            change = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
+            if change < SETTLED:
+                break
         node = node.copy()
         np.add.at(node, target, message)
     node = np.exp(node - node.max(axis=1, keepdims=True))
