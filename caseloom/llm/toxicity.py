@@ -179,8 +179,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
-    """Counts over all labelled texts that `train` admits, but for a fifth by another hash, on which the curve is fitted.
+    """Counts over all labelled texts that `train` admits.
 
+    The curve is fitted on a fifth by another hash, scored by counts over the rest; then that fifth is counted too.
     Of several labels of a document the largest holds; null labels and ids teach nothing. None when a class is missing.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).filter(train)
@@ -188,21 +189,25 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     # one way of joining at every size: labels grow with the documents
     labelled = marked.hint("merge")
     rows = docs.select("doc_id", "text").join(labelled, "doc_id")
-    counts = cut_lineage(rows.filter(~held).select("text", "toxic").mapInArrow(_count, "gram long, c1 long, c0 long").groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")))
-    sums = counts.agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).first()
-    if not sums.c1 or not sums.c0:
+    added = lambda c: c.groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    counted = lambda part: cut_lineage(added(part.select("text", "toxic").mapInArrow(_count, "gram long, c1 long, c0 long")))
+    most, fifth = counted(rows.filter(~held)), counted(rows.filter(held))
+    both_classes = lambda c: all(c.agg(F.sum("c1"), F.sum("c0")).first())
+    counts = cut_lineage(added(most.unionByName(fifth)))
+    if not both_classes(counts):
         return None
-    seen, unseen = smoothed(counts)
-    model = Model(slotted(seen, GRAM_SLOTS), slotted(unseen, CONTEXT_SLOTS))
+    tables = lambda c: [slotted(part, slots) for part, slots in zip(smoothed(c), (GRAM_SLOTS, CONTEXT_SLOTS))]
+    whole = Model(*tables(counts), 10.0, -1.0)
+    if not both_classes(most):  # too few rows for a curve
+        return whole
+    model = Model(*tables(most))
     # the texts the curve is fitted on, chosen by hash
     picked = marked.filter(held).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
     sample = ratio_rows(docs.select("doc_id", "text").join(picked.hint("merge"), "doc_id").select("text", "toxic"), model).select("ratio", "toxic").toArrow()
     y = sample.column("toxic").to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        model.slope, model.offset = logistic(sample.column("ratio").to_numpy(), y)
-    else:  # too few rows for a curve
-        model.slope, model.offset = 10.0, -1.0
-    return model
+        whole.slope, whole.offset = logistic(sample.column("ratio").to_numpy(), y)
+    return whole
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
