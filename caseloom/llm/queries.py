@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caseloom.llm import fingerprints, language_id, near_dedup, packing, pii, quality, secrets, sentencepiece, substring_dedup, toxicity
+from caseloom.llm import (
+    byte_bpe, divergence, fingerprints, language_id, near_dedup, packing, pii, quality, resampling, secrets, sentencepiece, substring_dedup, toxicity,
+)
 from caseloom.llm.frames import small_batches
 
 #: Folder of the public tokenizer files; None takes that of the installed package.
@@ -80,8 +82,29 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(documents(spark, sf))
 
 
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of ids of every whole text, a digest of them, and a digest of the bytes they stand for."""
+    small_batches(spark)
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    rows = byte_bpe.decode(byte_bpe.encode(documents(spark, sf).select("doc_id", "text"), path), path)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    small_batches(spark)
+    return resampling.resample(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")).drop("n_words")
+
+
+def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_substring_dedup, op3_pii, op4_near_dedup, op5_secrets, op6_fingerprints, op7_sentencepiece, op8_toxicity, op9_packing, op10_quality,
+    op11_byte_bpe, op12_importance_resampling, op13_source_divergence,
 )}
 
 
@@ -128,4 +151,68 @@ PASSAGES_SQL = rf"""
     from base left join kept using (doc_id)"""
 
 
-ORACLE = {"op2_substring_dedup": PASSAGES_SQL, "op10_quality": _quality_sql()}
+# CRC-32 of every distinct word from its bytes and the table of the reversed polynomial
+RESAMPLING_SQL = rf"""
+    with entries as (
+        select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, {resampling.POLYNOMIAL}) else c >> 1 end) order by i) as entry
+        from range(256) as r(i)),
+    texts as (
+        select true as own, row_number() over () as r, doc_id, text from documents
+        union all select false, row_number() over (), null, text from benchmark),
+    words as (
+        select own, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+        from texts),
+    hexes as (select word, hex(encode(word)) as h from (select distinct word from words)),
+    buckets as (
+        select word, xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+            lambda c, b: xor(c >> 8, entry[xor(c & 255, b) + 1]))) % {resampling.BUCKETS} as bucket
+        from hexes, entries),
+    counts as (select bucket, count(*) filter (own) as s, count(*) filter (not own) as t from words join buckets using (word) group by bucket),
+    totals as (select sum(s)::double as all_s, sum(t)::double as all_t from counts),
+    gains as (
+        select bucket, floor(1000.0::double * ln((t + 1)::double * (all_s + {resampling.BUCKETS}) / ((s + 1)::double * (all_t + {resampling.BUCKETS}))))::bigint as gain
+        from counts, totals),
+    weights as (select r, count(*) as n_features, sum(gain)::bigint as weight from words join buckets using (word) join gains using (bucket) where own group by r),
+    scored as (
+        select r, doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000.0::double * ln(-ln(
+            (('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+        from texts left join weights using (r) where own),
+    ranked as (
+        select r, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= {resampling.LEAST_WORDS})
+    select doc_id, n_features, weight, score, case when rank <= {resampling.PERCENT} * n // 100 then rank end as rank
+    from scored left join ranked using (r)"""
+
+DIVERGENCE_SQL = rf"""
+    with base as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+    terms as (
+        select d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from base),
+    kept as (select lang, term from terms group by lang, term having count(distinct d) >= {divergence.LEAST_DOCS}),
+    sizes as (select lang, count(*) as v from kept group by lang),
+    groups as (select distinct lang, source from base),
+    counted as (select lang, source, term, count(*) as n from terms semi join kept using (lang, term) group by lang, source, term),
+    grid as (
+        select g.lang, g.source, k.term, coalesce(n, 0) as n, v, sum(coalesce(n, 0)) over (partition by g.lang, g.source) as total
+        from groups g join kept k using (lang) join sizes using (lang) left join counted c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+    shares as (select lang, source, term, n, v, 1 + ({divergence.SCALE}::hugeint * (n + {divergence.SMOOTH})) // (total + {divergence.SMOOTH} * v)::hugeint as p from grid),
+    whole as (
+        select lang, term, 1 + ({divergence.SCALE}::hugeint * (sum(n) + {divergence.SMOOTH})) // (sum(sum(n)) over (partition by lang) + {divergence.SMOOTH} * max(v))::hugeint as q
+        from shares group by lang, term),
+    pairs as (
+        select a.lang, a.source, b.source as item, coalesce(sum(abs(p.p - o.p)), 0)::bigint as value
+        from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join shares p on p.lang = a.lang and p.source = a.source
+        left join shares o on o.lang = a.lang and o.source = b.source and o.term = p.term
+        group by a.lang, a.source, b.source),
+    above as (select lang, source, term as item, (p - q)::bigint as value from shares join whole using (lang, term) where n > 0 and p > q),
+    ranked as (
+        select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+        union all
+        select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int from above)
+    select * from ranked where part = 'pair' or rank <= {divergence.TOP_TERMS}"""
+
+
+ORACLE = {
+    "op2_substring_dedup": PASSAGES_SQL, "op10_quality": _quality_sql(), "op12_importance_resampling": RESAMPLING_SQL, "op13_source_divergence": DIVERGENCE_SQL,
+}
