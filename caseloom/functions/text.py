@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -25,9 +28,6 @@ WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-ACCENTS = {
-    "a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "s": "š", "u": "ùúûü", "y": "ýÿ", "z": "ž",
-}
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -230,11 +230,24 @@ def descriptive_name(entity_type: Column, description: Column) -> Column:
     return F.when(kind.isin(DESCRIBED_TYPES), named)
 
 
+@cache
+def _unmarked() -> tuple[str, str]:
+    """Letters with marks and what is left of them without, in all scripts; at the end the marks, which are left out."""
+    pairs, marks = [], []
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1))):
+        if unicodedata.category(c)[0] == "M":
+            marks.append(c)
+            continue
+        plain = unicodedata.normalize("NFC", "".join(d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d)[0] != "M"))
+        if plain != c and len(plain) == 1:
+            pairs.append((c, plain))
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(p for _, p in pairs)
+
+
 def fold(c: Column) -> Column:
-    """Lower case without Latin diacritics, as the search index compares words."""
-    accented = "".join(ACCENTS.values())
-    plain = "".join(letter * len(marked) for letter, marked in ACCENTS.items())
-    return F.translate(F.lower(c), accented, plain)
+    """Lower case without diacritics of any script, as the search index compares words."""
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_unmarked())).otherwise(low)
 
 
 def rough_tokens(c: Column) -> Column:

@@ -6,17 +6,17 @@ File queries write data derived from the tables in the file format, then read it
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from caseloom.functions.vocabulary import confidence_band
 from caseloom.operators import consolidate, model_map as mm, search as fts
 from caseloom.operators.documents import stage_usage
+from caseloom.operators.text_index import TextIndex
 from caseloom.plans.bindings import CASE_DOCUMENTS_SQL, NONE, TRADE_GRAPH_SQL, case_documents, table, trade_graph
 from caseloom.plans.graph_queries import LINE_EVIDENCE_SQL, line_evidence
 from caseloom.plans.search_queries import language_segments
-from caseloom.session import ensure_checkpoint_dir
+from caseloom.session import scratch
 from caseloom.sources import files, sinks
 from caseloom.streaming import flows
 
@@ -32,10 +32,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def scratch(spark) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/caseloom-flow-{uuid.uuid4().hex}"
-
-
 def stream_of(spark, sf, name):
     """One of the given tables as a file stream."""
     schema = table(spark, sf, name).schema
@@ -241,8 +237,9 @@ def stream_index(spark, sf):
     segments = stream_of(spark, sf, "documents").select(
         F.col("lang").alias("case_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"), F.lit("raw").alias("source_kind"), F.lit("raw").alias("segment_key"),
         fts.squeeze(F.col("text")).alias("content"), F.concat("doc_id", F.lit(".txt")).alias("original_filename")).filter("content <> ''")
-    flows.index_new_segments(segments, path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path).select("segment_id", "term", "tf")
+    index = TextIndex(spark, path)
+    flows.index_new_segments(segments, index, f"{path}-checkpoint").awaitTermination()
+    return index.postings().select("segment_id", "term", F.size("positions").cast("long").alias("tf"))
 
 
 @query("stream_usage", """SELECT event_type AS stage, 'model-' || user_id % 3 AS model, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total_tokens, max(value) AS max_latency_ms FROM events GROUP BY 1, 2""")

@@ -39,6 +39,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder for tables, streams and files that a query writes."""
+    return f"{ensure_checkpoint_dir(spark)}/caseloom-flow-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df as a table in the checkpoint folder and continue from that.
 
@@ -86,6 +91,25 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], column: str, nam
     return placed.join(following, [*keys, "_n"], "left").drop("_n")
 
 
+def nearest_value(df: DataFrame, keys: list[str], order: list[str], column: str, name: str, ahead: bool = True) -> DataFrame:
+    """df with the next value of `column` that is not null, in the row itself or after it (or before it), within its key.
+
+    As in number_rows, a key is cut into ranges: each finds its own values, and takes what it lacks from the ranges beyond.
+    The order must be total.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn("_range", F.spark_partition_id()))
+    way = F.desc if ahead else F.asc
+    so_far = Window.partitionBy(*keys, "_range").orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    beyond = Window.partitionBy(*keys).orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.min_by if ahead else F.max_by
+    place = F.when(F.col(column).isNotNull(), F.struct(*order))
+    borders = ranged.groupBy(*keys, "_range").agg(pick(column, place).alias("_edge")).withColumn("_edge", F.last("_edge", ignorenulls=True).over(beyond))
+    return (
+        ranged.withColumn("_near", F.last(column, ignorenulls=True).over(so_far)).join(borders, [*keys, "_range"])
+        .withColumn(name, F.coalesce("_near", "_edge")).drop("_near", "_edge", "_range")
+    )
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     """The first k rows per key; Spark prunes to k rows per key and task before it shuffles."""
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -6,12 +6,13 @@ unbounded state.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caseloom.functions.text import strip
 from caseloom.operators.documents import IN_FLIGHT_STATES, TERMINAL_STATES, intake_decisions, stage_usage
-from caseloom.operators.search import build_postings, segment_id
+from caseloom.operators.text_index import TextIndex
 from caseloom.operators.textprep import preflight, route, source_kind
 
 LOG_LIMIT, LOG_LIMIT_MAX = 500, 2000
@@ -21,16 +22,14 @@ def _put_batch(df: DataFrame, path: str, batch_id: int, *parts: str) -> None:
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *parts).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def _earlier_batches(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
     """Rows of the batches before this one; empty where nothing has been written yet, any other fault is raised."""
-    if not _exists(spark, path):
+    try:
+        return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
 
 
 def _prefix(c: str) -> Column:
@@ -106,12 +105,13 @@ def after_restart(states: DataFrame) -> DataFrame:
     return states.withColumn("status", F.when(caught, "failed").otherwise(F.col("status"))).withColumn("terminal", F.col("status").isin(TERMINAL_STATES))
 
 
-def index_new_segments(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Postings of segments that are not indexed yet; one that arrives again, in a batch or later, is passed over."""
+def index_new_segments(stream: DataFrame, index: TextIndex, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Segments that are not indexed yet; one that arrives again, in a batch or later, is passed over.
+
+    A batch reads the shards of its own documents only. One that is run again after a failure is known by its tag.
+    """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        known = _earlier_batches(batch.sparkSession, path, batch_id, "segment_id string, batch_id int").select("segment_id").distinct()
-        fresh = batch.withColumn("segment_id", segment_id()).dropDuplicates(["segment_id"]).join(known, "segment_id", "left_anti")
-        _put_batch(build_postings(fresh.drop("segment_id")), path, batch_id)
+        TextIndex(batch.sparkSession, index.path, index.buckets, index.shards, index.parts).apply(batch, replace=False, tag=f"{checkpoint}#{batch_id}")
 
     return _start(stream, each_batch, checkpoint, available_now=available_now)
 

@@ -112,11 +112,14 @@ def test_streams_pass_over_what_they_have(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
         start(spark.readStream.schema(schema).parquet(str(folder)), str(tmp_path / name / "out"), str(tmp_path / name / "check")).awaitTermination()
 
+    from caseloom.operators.text_index import TextIndex
+
     segment = "case_id string, document_id string, source_kind string, segment_key string, content string, original_filename string"
+    index = lambda stream, path, check: flows.index_new_segments(stream, TextIndex(spark, path), check)
     for part in (["a", "b", "b"], ["b", "c"]):
-        run(flows.index_new_segments, [("c", d, "raw", "raw", f"word {d}", f"{d}.txt") for d in part], segment, "index")
-    found = spark.read.parquet(str(tmp_path / "index/out")).filter("term = 'word'").collect()
-    assert sorted(r.segment_id for r in found) == ["a|raw|raw", "b|raw|raw", "c|raw|raw"] and {r.tf for r in found} == {1}
+        run(index, [("c", d, "raw", "raw", f"word {d}", f"{d}.txt") for d in part], segment, "index")
+    found = TextIndex(spark, str(tmp_path / "index/out")).postings().filter("term = 'word'").collect()
+    assert sorted(r.segment_id for r in found) == ["a|raw|raw", "b|raw|raw", "c|raw|raw"] and {len(r.positions) for r in found} == {1}
     document = "case_id string, document_id string, file_name string, mime_type string, profile string, content string, claimed_hash string, allow_duplicate boolean, created_ord long"
     for part in ([("1", "same"), ("2", "other")], [("3", "same"), ("4", "new")]):
         run(flows.intake, [("c", d, f"{d}.txt", "text/plain", "p", text, None, False, int(d)) for d, text in part], document, "intake")
