@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.text import bind, file_key, pick_text, strip
+from caseloom.operators.suffixes import spans_within, texts_around
 
 QUERY = "query_id"
 
@@ -24,16 +25,9 @@ def _keys(rows: DataFrame, path: str) -> DataFrame:
 
 def matched_keys(expected: DataFrame, returned: DataFrame) -> DataFrame:
     """Expected keys (query_id, key) that equal a returned key, contain one, or are part of one."""
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        n = F.length("key")
-        starts = F.sequence(F.lit(1), n)
-        cut = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr("key", i, k))))
-        return df.select(QUERY, "key", F.explode(F.array_distinct(cut)).alias(name))
-
-    # a key has few characters, so all its parts can be listed; equality on (question, part) needs no candidates
-    inside = expected.join(parts(returned, "part").select(QUERY, F.col("part").alias("key")), [QUERY, "key"], "left_semi")
-    around = parts(expected, "part").join(returned.withColumnRenamed("key", "part"), [QUERY, "part"], "left_semi").select(QUERY, "key")
-    return inside.unionByName(around).distinct()
+    inside = spans_within(returned.select(QUERY, F.col("key").alias("text")), expected.select(QUERY, F.col("key").alias("span")), [QUERY])
+    around = texts_around(expected.select(QUERY, F.col("key").alias("text")), returned.select(QUERY, F.col("key").alias("span")), [QUERY])
+    return inside.withColumnRenamed("span", "key").unionByName(around.withColumnRenamed("text", "key")).distinct()
 
 
 def _count(rows: DataFrame, name: str) -> DataFrame:
