@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.operators import integrity as dl, resolve as er
+from caseloom.operators.similar_names import similar_names, strong_pairs
 from caseloom.plans.bindings import (
     CASE_DOCUMENTS_SQL, DOCUMENT_CHUNKS_SQL, NONE, TRADE_GRAPH_SQL, case_documents, document_chunks, table, trade_graph,
 )
@@ -58,6 +59,38 @@ def er_candidates(spark, sf):
     return er.candidate_pairs(nodes, edges).withColumns(rounded)
 
 
+# --- names that share most of their words: every line of 2 to 12 words in a document is a name of its language ---
+
+def line_names(spark, sf):
+    lines = table(spark, sf, "documents").select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    named = lines.select(F.col("lang").alias("case_id"), F.lit("line").alias("kind"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("line_id"), er.compared_name(F.col("line")).alias("name"))
+    short = named.filter(F.size(F.split("name", " ")).between(2, 12))
+    return short.groupBy("case_id", "kind", "name").agg(F.min("line_id").alias("name_id"))
+
+
+TOKEN_PAIRS_SQL = r"""lines AS (SELECT lang AS case_id, doc_id * 100000 + generate_subscripts(l, 1) - 1 AS line_id, unnest(l) AS line FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS l FROM documents)),
+split AS (SELECT case_id, line_id, regexp_extract_all(lower(line), '[\p{L}\p{N}]+') AS w FROM lines),
+names AS (SELECT case_id, array_to_string(w, ' ') AS name, min(line_id) AS name_id, list_sort(list_distinct(any_value(w))) AS w, regexp_extract_all(array_to_string(any_value(w), ' '), '[0-9]+') AS numbers FROM split WHERE len(w) BETWEEN 2 AND 12 GROUP BY case_id, name),
+sizes AS (SELECT case_id, count(*) AS size FROM names GROUP BY 1),
+weights AS (SELECT case_id, word, round(1000 * ln(1 + max(size)::DOUBLE / count(*)))::BIGINT AS weight FROM (SELECT case_id, unnest(w) AS word FROM names) JOIN sizes USING (case_id) GROUP BY ALL),
+totals AS (SELECT case_id, name_id, sum(weight)::BIGINT AS total FROM (SELECT case_id, name_id, unnest(w) AS word FROM names) JOIN weights USING (case_id, word) GROUP BY ALL),
+met AS (SELECT a.case_id, a.name_id AS first_id, b.name_id AS second_id, list_intersect(a.w, b.w) AS held FROM names a JOIN names b ON a.case_id = b.case_id AND a.name_id < b.name_id AND a.numbers = b.numbers WHERE list_has_any(a.w, b.w)),
+sums AS (SELECT case_id, first_id, second_id, sum(weight)::BIGINT AS shared FROM (SELECT case_id, first_id, second_id, unnest(held) AS word FROM met) JOIN weights USING (case_id, word) GROUP BY ALL),
+pairs AS (SELECT s.*, a.total + b.total - shared AS joint FROM sums s JOIN totals a ON a.case_id = s.case_id AND a.name_id = first_id JOIN totals b ON b.case_id = s.case_id AND b.name_id = second_id
+ WHERE shared * 100 >= (a.total + b.total - shared) * 50)"""
+
+
+@query("er_token_pairs", f"WITH {TOKEN_PAIRS_SQL} SELECT case_id, first_id, second_id, shared, joint FROM pairs")
+def er_token_pairs(spark, sf):
+    return similar_names(line_names(spark, sf), 50).drop("kind")
+
+
+@query("er_strong_pairs", f"""WITH {TOKEN_PAIRS_SQL}, ends AS (SELECT case_id, shared, unnest([first_id, second_id]) AS name_id FROM pairs), means AS (SELECT case_id, name_id, avg(shared) AS mean FROM ends GROUP BY ALL)
+SELECT p.* FROM pairs p JOIN means a ON a.case_id = p.case_id AND a.name_id = first_id JOIN means b ON b.case_id = p.case_id AND b.name_id = second_id WHERE shared >= least(a.mean, b.mean) - 1e-9""")
+def er_strong_pairs(spark, sf):
+    return strong_pairs(cut_lineage(similar_names(line_names(spark, sf), 50))).drop("kind")
+
+
 def proposals(spark, sf):
     """Each part proposes its successor of the same name, with a confidence from its size."""
     part = table(spark, sf, "part").select("p_partkey", "p_size", "p_name")
