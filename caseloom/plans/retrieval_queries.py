@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.operators import retrieve as rt
+from caseloom.operators import retrieve as rt, vector_index as vi
 from caseloom.plans.bindings import CASE_DOCUMENTS_SQL, case_documents, table
 
 QUERIES, ORACLE = {}, {}
@@ -208,3 +208,31 @@ def retrieval_eval(spark, sf):
 @query("refusals", """SELECT 'q' || c_custkey AS query_id, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 < 2) AS insufficient_evidence FROM customer""")
 def refusals(spark, sf):
     return rt.insufficient_evidence(table(spark, sf, "customer").selectExpr("'q' || c_custkey as query_id"), rt.entity_records(raw_records(spark, sf)))
+
+
+# --- the approximate index: every vector whose id is divisible by 20 is asked against all ---
+
+def sampled_questions(spark, sf):
+    return vectors(spark, sf, "E").filter("cast(substr(item_id, 2) as long) % 20 = 0").select(F.concat(F.lit("n"), "item_id").alias("query_id"), "case_id", "vector")
+
+
+@query("vector_ann")
+def vector_ann(spark, sf):
+    return vi.approximate_topk(vi.build(vectors(spark, sf, "E")), sampled_questions(spark, sf), 10, 0.2)
+
+
+@query("vector_ann_recall", "SELECT count(*) AS questions, true AS nine_of_ten FROM embeddings WHERE vec_id % 20 = 0")
+def vector_ann_recall(spark, sf):
+    """Whether at least nine of ten exact hits are found, over all questions."""
+    asked = sampled_questions(spark, sf)
+    rate = vi.recall(vector_ann(spark, sf), rt.vector_topk(asked, vectors(spark, sf, "E"), 10, 0.2))
+    return rate.select(F.lit(asked.count()).alias("questions"), (F.col("hits") * 10 >= F.col("wanted") * 9).alias("nine_of_ten"))
+
+
+@query("vector_ann_full", f"""WITH {BASE_SQL} SELECT query_id, item_id, rank, round(score, 6) AS score FROM ent""")
+def vector_ann_full(spark, sf):
+    """With all lists probed and a shortlist of all items the index gives the exact hits."""
+    index = vi.build(vectors(spark, sf, "E"))
+    everything = index.codes.count()
+    hits = vi.approximate_topk(index, label_questions(spark, sf), 10, 0.2, probes=len(index.quantiser.centres), shortlist=everything)
+    return hits.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))
