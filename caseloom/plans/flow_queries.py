@@ -237,7 +237,7 @@ def stream_index(spark, sf):
     segments = stream_of(spark, sf, "documents").select(
         F.col("lang").alias("case_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"), F.lit("raw").alias("source_kind"), F.lit("raw").alias("segment_key"),
         fts.squeeze(F.col("text")).alias("content"), F.concat("doc_id", F.lit(".txt")).alias("original_filename")).filter("content <> ''")
-    index = TextIndex(spark, path)
+    index = TextIndex(spark, path, buckets=16, shards=16, parts=2)
     flows.index_new_segments(segments, index, f"{path}-checkpoint").awaitTermination()
     return index.postings().select("segment_id", "term", F.size("positions").cast("long").alias("tf"))
 
