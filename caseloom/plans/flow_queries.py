@@ -18,7 +18,7 @@ from caseloom.plans.graph_queries import LINE_EVIDENCE_SQL, line_evidence
 from caseloom.plans.search_queries import language_segments
 from caseloom.session import scratch
 from caseloom.sources import files, sinks
-from caseloom.streaming import flows
+from caseloom.streaming import flows, stateful
 
 QUERIES, ORACLE = {}, {}
 
@@ -303,3 +303,60 @@ def template_render(spark, sf):
     values = F.expr("""case p_size % 3 when 0 then map('name', p_name) when 1 then map('name', p_name, 'type', p_type) else map('name', p_name, 'type', p_type, 'size', '1') end""")
     rendered = mm.render_template(F.lit("Part {name} is {type}, {name}"), F.array(F.lit("name"), F.lit("type")), values)
     return table(spark, sf, "part").select("p_partkey", rendered.alias("r")).select("p_partkey", "r.*")
+
+
+# --- streams bounded by event time ---------------------------------------------------------------
+
+def _calls(events):
+    return events.selectExpr("cast(ts as timestamp) as called_at", "event_type as stage", "'model-' || user_id % 3 as model", "value as latency_ms",
+                             "cast(get_json_object(props, '$.k') as long) as total_tokens", f"case when event_type = 'error' then 'failed' else {NONE} end as error")
+
+
+def usage_by_day(spark, sf):
+    path = scratch(spark)
+    stateful.usage_windows(_calls(stream_of(spark, sf, "events")), path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(path)
+
+
+CLOSED_SQL = """calls AS (SELECT date_trunc('day', ts) AS from_time, event_type AS stage, 'model-' || user_id % 3 AS model, value, event_type = 'error' AS failed, json_extract_string(props, '$.k')::BIGINT AS k FROM events
+ QUALIFY date_trunc('day', ts) + INTERVAL 1 DAY <= max(ts) OVER () - INTERVAL 1 HOUR)"""
+
+
+@query("stream_usage_windows", f"""WITH {CLOSED_SQL} SELECT strftime(from_time, '%Y-%m-%d') AS day, stage, model, count(*) AS calls, count(*) FILTER (failed) AS errors, sum(k)::BIGINT AS total_tokens, max(value) AS max_latency_ms FROM calls GROUP BY ALL""")
+def stream_usage_windows(spark, sf):
+    """Days that the stream has closed; the open ones are state."""
+    return usage_by_day(spark, sf).select(F.date_format("from_time", "yyyy-MM-dd").alias("day"), "stage", "model", "calls", "errors", "total_tokens", "max_latency_ms")
+
+
+@query("usage_quantiles", f"""WITH {CLOSED_SQL} SELECT stage, count(*) AS calls, true AS median_close, true AS p95_close FROM calls GROUP BY 1""")
+def usage_quantiles(spark, sf):
+    """Quantiles of merged sketches, held against the shares of calls up to them: within 0.02 in rank."""
+    days = usage_by_day(spark, sf).cache()
+    merged = stateful.usage_over(days, "stage")
+    closed = _calls(table(spark, sf, "events")).join(days.select("stage", "model", "from_time", "to_time"), ["stage", "model"]).filter("called_at >= from_time and called_at < to_time")
+    share = lambda q: F.avg(F.when(F.col("latency_ms") <= F.col(q), 1.0).otherwise(0.0))
+    below = lambda q: F.avg(F.when(F.col("latency_ms") < F.col(q), 1.0).otherwise(0.0))
+    close = lambda q, at: (share(q) >= at - 0.02) & (below(q) <= at + 0.02)
+    return closed.select("stage", "latency_ms").join(merged, "stage").groupBy("stage").agg(
+        F.count(F.lit(1)).alias("calls"), close("p50_latency_ms", 0.5).alias("median_close"), close("p95_latency_ms", 0.95).alias("p95_close"))
+
+
+@query("stream_dedupe_window", "SELECT DISTINCT lang AS case_id, sha256(text) AS content_hash FROM documents")
+def stream_dedupe_window(spark, sf):
+    path = scratch(spark)
+    arriving = stream_of(spark, sf, "documents").select(
+        F.col("lang").alias("case_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"), F.col("text").alias("content"), F.timestamp_seconds("doc_id").alias("arrived_at"))
+    stateful.intake_within(arriving, path, f"{path}-checkpoint", look_back="3650 days").awaitTermination()
+    return spark.read.parquet(path).select("case_id", "content_hash")
+
+
+@query("job_timers", """WITH last AS (SELECT user_id AS job_id, max(event_id) AS seq, arg_max(CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' ELSE 'indexing' END, event_id) AS s,
+ arg_max(ts, event_id) AS seen FROM events GROUP BY 1), done AS (SELECT *, CASE WHEN s IN ('parsing', 'indexing') AND seen + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'failed' ELSE s END AS status FROM last)
+SELECT job_id, status, seq, status IN ('complete', 'failed') AS terminal FROM done""")
+def job_timers(spark, sf):
+    """Jobs silent for six hours of event time while in work have failed; the others keep their newest status."""
+    path = scratch(spark)
+    reports = stream_of(spark, sf, "events").selectExpr(
+        "user_id as job_id", "event_id as seq", "case event_type when 'purchase' then 'complete' when 'error' then 'failed' when 'signup' then 'queued' when 'view' then 'parsing' else 'indexing' end as status", "cast(ts as timestamp) as reported_at")
+    stateful.track_jobs_with_timers(reports, path, f"{path}-checkpoint").awaitTermination()
+    return stateful.tracked_jobs(spark.read.parquet(path))
