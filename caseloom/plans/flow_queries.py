@@ -97,6 +97,23 @@ def vector_store(spark, sf):
     return found.select("id", "entity_name", F.array_join(F.transform("__vector__", lambda x: F.floor(x.cast("float").cast("double") * 1048576)), ",").alias("vector"))
 
 
+@query("vector_layouts", "SELECT 'w' || vec_id AS id, 'E' || label AS entity_name, array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1048576)::BIGINT), ',') AS vector FROM embeddings")
+def vector_layouts(spark, sf):
+    """The vectors in files of all three layouts, by groups of a hundred: a list, an object that holds it, an object of records."""
+    path = scratch(spark)
+    rows = table(spark, sf, "embeddings").select(
+        F.expr("vec_id div 100").alias("grp"), F.concat(F.lit("w"), "vec_id").alias("key"),
+        F.struct(F.concat(F.lit("E"), "label").alias("entity_name"), F.col("embedding").alias("__vector__")).alias("r"))
+    keyed = F.to_json(F.struct(F.col("key").alias("__id__"), "r.*"))
+    body = F.when(F.col("grp") % 3 == 0, F.concat(F.lit('"'), "key", F.lit('": '), F.to_json("r"))).otherwise(keyed)
+    joined = rows.select("grp", body.alias("body")).groupBy("grp").agg(F.array_join(F.collect_list("body"), ", ").alias("body"))
+    wrap = lambda a, b: F.concat(F.lit(a), "body", F.lit(b))
+    value = F.when(F.col("grp") % 3 == 0, wrap("{", "}")).when(F.col("grp") % 3 == 1, wrap("[", "]")).otherwise(wrap('{"embedding_dim": 64, "data": [', '], "matrix": "a,b]"}'))
+    joined.select("grp", value.alias("value")).repartition("grp").write.partitionBy("grp").text(path)
+    found = files.vector_records(spark, f"{path}/grp=*")
+    return found.select(F.coalesce("id", "__id__").alias("id"), "entity_name", F.array_join(F.transform("__vector__", lambda x: F.floor(x.cast("float").cast("double") * 1048576)), ",").alias("vector"))
+
+
 @query("cached_results", "SELECT 'Q' || item_id AS query_id, text AS answer FROM benchmark")
 def cached_results(spark, sf):
     rows = table(spark, sf, "benchmark").select(F.expr("item_id div 200").alias("grp"), F.concat(F.lit("Q"), "item_id").alias("key"), F.to_json(F.struct(F.col("text").alias("answer"))).alias("body"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from caseloom.functions.text import base_name, strip
 from caseloom.operators.search import is_text_file
 from caseloom.schemas import LINK, LINK_NODE, VECTOR_RECORD
+from caseloom.sources import json_split
 
 GRAPHML_DATA = "data array<struct<_VALUE string, _key string>>"
 
@@ -55,9 +56,8 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def kv_store(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Files with one JSON object id -> record as rows (file, key, fields); unreadable files give no rows."""
-    parsed = _whole(spark, path).select("file", F.from_json("body", f"map<string, struct<{_struct(record)}>>").alias("m"))
-    return parsed.select("file", F.explode("m").alias("key", "r")).select("file", "key", "r.*")
+    """Files with one JSON object id -> record as rows (file, key, fields); a large file is read by many tasks, one that does not close gives no rows."""
+    return json_split.members(spark, path, f"struct<{_struct(record)}>").select("file", "key", "r.*")
 
 
 def _struct(ddl: str) -> str:
@@ -75,16 +75,9 @@ def _split_ddl(ddl: str) -> list[str]:
 
 
 def vector_records(spark: SparkSession, path: str, record: str = VECTOR_RECORD) -> DataFrame:
-    """Vector-store files: {"data": [...]}, an object of records (its key becomes the id), or a list."""
-    fields = f"struct<{_struct(record)}>"
-    body = _whole(spark, path)
-    head = F.substring(F.trim(F.translate("body", "\n\r\t", "   ")), 1, 1)
-    data = F.from_json("body", f"struct<data: array<{fields}>>")["data"]
-    listed = F.when(head == "[", F.from_json("body", f"array<{fields}>")).otherwise(data)
-    keyed = F.from_json("body", f"map<string, {fields}>")
-    as_list = body.select("file", F.explode(listed).alias("r")).select("file", "r.*")
-    as_map = body.filter((head == "{") & data.isNull()).select("file", F.explode(keyed).alias("key", "r")).filter("r is not null").select("file", "key", "r.*")
-    return as_list.unionByName(as_map.withColumn("id", F.coalesce("id", "key")).drop("key"))
+    """Vector-store files: {"data": [...]}, an object of records (its key becomes the id), or a list; each is read by many tasks."""
+    rows = json_split.records(spark, path, f"struct<{_struct(record)}>").select("file", "key", "r.*")
+    return rows.withColumn("id", F.coalesce("id", "key")).drop("key")
 
 
 def link_nodes(spark: SparkSession, path: str) -> DataFrame:
