@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.llm.spans import Span, digest, joined, overlaps
+from caseloom.llm.spans import Span, digest, joined
 
 KINDS = ("assign", "access", "hex", "novel")
 # The base patterns.
@@ -20,7 +21,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words that make what follows on the line sensitive.
 SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "access_key", "auth_key", "bearer", "authorization")
 CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+LEAST_CHARACTERS = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{%d,}" % LEAST_CHARACTERS)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,30}")
 #: Characters after a sensitive word in which a candidate may begin, and characters of surroundings on each side.
 REACH, AROUND = 60, 256
@@ -40,22 +42,51 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda x: x[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Strings with letters and digits that begin soon after a sensitive word on the same line and that no base span touches."""
+    """Strings with letters and digits that begin soon after a sensitive word on the same line and that no base span touches.
+
+    Of candidates with one end, where several sensitive words stand in one string, the longest counts. Strings are found once
+    and looked up from each word, so the time grows with the text and not with its words times its strings.
+    """
     lowered = text.lower()
     if not any(k in lowered for k in SENSITIVE):
         return []
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    run_ends = [b for _, b in runs]
+    starts, ends = _merged(taken)
     found: dict[int, int] = {}
+    last: dict[int, int] = {}
     for word in CONTEXT.finditer(text):
-        stop = text.find("\n", word.end(), word.end() + REACH)
-        limit = stop if stop >= 0 else word.end() + REACH
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() >= limit:
+        after = word.end()
+        stop = text.find("\n", after, after + REACH)
+        limit = stop if stop >= 0 else after + REACH
+        for k in range(bisect_right(run_ends, after), len(runs)):
+            a, b = max(runs[k][0], after), runs[k][1]
+            if a >= limit:
                 break
-            s = m[0]
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not overlaps(taken, *m.span()):
-                found[m.start()] = m.end()
-    return sorted(found.items())
+            if b - a < LEAST_CHARACTERS or b in found:
+                continue
+            if b not in last:
+                # the last place from which both a letter and a digit still follow
+                digit = next((i for i in range(b - 1, a - 1, -1) if text[i].isdigit()), -1)
+                letter = next((i for i in range(b - 1, a - 1, -1) if text[i].isalpha()), -1)
+                last[b] = min(digit, letter)
+            at = bisect_right(starts, b - 1) - 1
+            if a <= last[b] and (at < 0 or ends[at] <= a):
+                found[b] = a
+    return sorted((a, b) for b, a in found.items())
 
 
 def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
@@ -111,7 +142,8 @@ class Novelty:
 def find_secrets(docs: DataFrame, words: bytes | None = None) -> DataFrame:
     """Base counts, digest of the base spans and all spans of every whole text, one row per input row.
 
-    Null and empty texts have no spans. Base spans always stay; `novel` ones never touch them.
+    Null and empty texts have no spans. Base spans always stay; `novel` ones never touch them. Repeated rows have the same spans,
+    texts of any length are read whole; columns other than doc_id and text are left out, and an empty table gives no rows.
     """
     primed = dictionary(docs) if words is None else words
 
