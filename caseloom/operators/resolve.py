@@ -170,6 +170,15 @@ def merged_descriptions(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(texts, NODE_KEY).select("case_id", F.col("root").alias("node_id"), F.col("node_id").alias("member_id"), "summary")
 
 
+def merged_sources(sources: DataFrame, roots: DataFrame) -> DataFrame:
+    """Source ids of all entities after merging, in long form: a merged entity has those of its members, each once.
+
+    sources(case_id, node_id, source_id); roots(case_id, source, root).
+    """
+    pointed = sources.join(roots.select("case_id", F.col("source").alias("node_id"), "root"), NODE_KEY, "left")
+    return pointed.select("case_id", F.coalesce("root", "node_id").alias("node_id"), "source_id").distinct()
+
+
 def merge_edges_after(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges re-pointed to the merged entities; copies fall together and links inside a merge disappear."""
     def pointed(df: DataFrame, column: str) -> DataFrame:

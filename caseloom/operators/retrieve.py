@@ -214,7 +214,10 @@ def retrieval_report(queries: DataFrame, entities: DataFrame, relations: DataFra
         "non_empty_payload", F.col("entities_present") | F.col("relations_present"))
 
 
-def insufficient_evidence(queries: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Flags the questions for which nothing at all was retrieved."""
-    some = retrieved.select("query_id").distinct().withColumn("_some", F.lit(True))
+def insufficient_evidence(queries: DataFrame, *retrieved: DataFrame) -> DataFrame:
+    """Flags the questions for which nothing at all was retrieved: no entity, no relation, no chunk, whichever are given."""
+    found = retrieved[0].select("query_id")
+    for more in retrieved[1:]:
+        found = found.unionByName(more.select("query_id"))
+    some = found.distinct().withColumn("_some", F.lit(True))
     return queries.join(some, "query_id", "left").select(*queries.columns, F.col("_some").isNull().alias("insufficient_evidence"))

@@ -151,6 +151,14 @@ def er_merged_nodes(spark, sf):
         kept.select("node_id", F.lit(None).cast("string").alias("member_id"), F.col("entity_type").alias("summary")))
 
 
+@query("er_merged_sources", f"""WITH RECURSIVE {ACCEPTED_SQL}, {ROOTS_SQL}
+SELECT DISTINCT 'P:' || coalesce(root, l_partkey) AS node_id, 'S' || l_suppkey AS source_id FROM lineitem LEFT JOIN roots ON k = l_partkey""")
+def er_merged_sources(spark, sf):
+    """Which suppliers each part, alone or merged, is known from."""
+    sources = table(spark, sf, "lineitem").selectExpr("'parts' as case_id", "'P:' || l_partkey as node_id", "'S' || l_suppkey as source_id")
+    return er.merged_sources(sources, er.merge_roots(accepted_merges(spark, sf))).select("node_id", "source_id")
+
+
 @query("er_requests", """SELECT DISTINCT 'parts' AS case_id, o_orderkey AS request_id, 'P:' || (o_custkey * 2) AS source, 'P:' || o_orderkey AS target FROM orders WHERE o_custkey * 2 <> o_orderkey AND o_orderkey % 7 <> 0""")
 def er_requests(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("'parts' as case_id", "o_orderkey as request_id", "' P:' || (o_custkey * 2) as source",

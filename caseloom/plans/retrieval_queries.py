@@ -210,6 +210,16 @@ def refusals(spark, sf):
     return rt.insufficient_evidence(table(spark, sf, "customer").selectExpr("'q' || c_custkey as query_id"), rt.entity_records(raw_records(spark, sf)))
 
 
+@query("refusals_all", """WITH kept AS (SELECT * FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 3 < 2 UNION ALL SELECT * FROM orders WHERE o_orderkey % 11 = 1 UNION ALL SELECT * FROM orders WHERE o_orderkey % 11 = 2 AND o_totalprice > 100000)
+SELECT 'q' || c_custkey AS query_id, NOT EXISTS (SELECT 1 FROM kept WHERE o_custkey = c_custkey) AS insufficient_evidence FROM customer""")
+def refusals_all(spark, sf):
+    """Entities, relations and chunks of a question each come from other orders; one find of any kind is enough."""
+    raw = raw_records(spark, sf)
+    chunks = table(spark, sf, "orders").filter("o_orderkey % 11 = 2 and o_totalprice > 100000").selectExpr("'q' || o_custkey as query_id", "o_orderkey as chunk_id")
+    return rt.insufficient_evidence(table(spark, sf, "customer").selectExpr("'q' || c_custkey as query_id"),
+                                    rt.entity_records(raw.filter("pos % 11 = 0")), rt.relation_records(raw.filter("pos % 11 = 1")), chunks)
+
+
 # --- the approximate index: every vector whose id is divisible by 20 is asked against all ---
 
 def sampled_questions(spark, sf):

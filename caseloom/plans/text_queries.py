@@ -122,6 +122,18 @@ def unique_slugs(spark, sf):
     return naming.allocate_slugs(requests, requests.filter("ord < 0").select("slug"))
 
 
+@query("unique_slugs_reserved", """WITH req AS (SELECT p_partkey AS ord, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS slug, p_size FROM part),
+base AS (SELECT DISTINCT slug FROM req WHERE p_size % 7 = 3), held AS (SELECT DISTINCT slug, 2 + p_size % 4 AS number FROM req WHERE p_size % 5 = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY number) AS t FROM held),
+n AS (SELECT r.*, row_number() OVER (PARTITION BY r.slug ORDER BY ord) - CASE WHEN b.slug IS NULL THEN 1 ELSE 0 END AS j FROM req r LEFT JOIN base b USING (slug))
+SELECT ord, slug, CASE WHEN j = 0 THEN slug ELSE slug || '-' || (1 + j + (SELECT count(*) FROM ranked b WHERE b.slug = n.slug AND number - 1 - t < j)) END AS unique_slug FROM n""")
+def unique_slugs_reserved(spark, sf):
+    """Some slugs and some numbered ones are taken before the first request."""
+    part = table(spark, sf, "part").withColumn("slug", tx.slug(F.col("p_name")))
+    taken = part.filter("p_size % 7 = 3").select("slug").unionByName(part.filter("p_size % 5 = 1").selectExpr("concat(slug, '-', 2 + p_size % 4) as slug")).distinct()
+    return naming.allocate_slugs(part.select("slug", F.col("p_partkey").alias("ord")), taken)
+
+
 @query("unique_names", """WITH req AS (SELECT p_partkey AS ord, p_name AS name, lower(p_type) AS kind FROM part),
 reserved AS (SELECT DISTINCT p_name AS name, lower(p_type) AS kind, 2 + p_size % 4 AS number FROM part WHERE p_size % 5 = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY name, kind ORDER BY number) AS t FROM reserved),
