@@ -362,7 +362,7 @@ def usage_quantiles(spark, sf):
 def stream_dedupe_window(spark, sf):
     path = scratch(spark)
     arriving = stream_of(spark, sf, "documents").select(
-        F.col("lang").alias("case_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"), F.col("text").alias("content"), F.timestamp_seconds("doc_id").alias("arrived_at"))
+        F.col("lang").alias("case_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"), F.col("text").alias("content"), F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("arrived_at"))
     stateful.intake_within(arriving, path, f"{path}-checkpoint", look_back="3650 days").awaitTermination()
     return spark.read.parquet(path).select("case_id", "content_hash")
 
