@@ -56,8 +56,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Row number per key in the given order, without putting one key into one task.
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """Row number per key in the given order, without putting one key into one task; with weight, the running sum of that column.
 
     Rows are range-partitioned by (keys, order), numbered inside each range, and shifted by the
     counts of the earlier ranges of the same key. The order must be total. The range id is
@@ -68,13 +68,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) ->
     )
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        ranged.groupBy(*keys, "_range").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
     local = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
-        ranged.withColumn("_local", F.row_number().over(local))
+        ranged.withColumn("_local", F.row_number().over(local) if weight is None else F.sum(weight).over(local))
         .join(offsets, [*keys, "_range"])
         .withColumn(name, (F.col("_local") + F.col("_offset")).cast("long"))
         .drop("_local", "_offset", "_range")

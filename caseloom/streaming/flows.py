@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caseloom.functions.text import strip
-from caseloom.operators.documents import IN_FLIGHT_STATES, TERMINAL_STATES, intake_decisions, stage_usage
+from caseloom.operators.documents import IN_FLIGHT_STATES, TERMINAL_STATES, intake_decisions, running_usage
 from caseloom.operators.text_index import TextIndex
 from caseloom.operators.textprep import preflight, route, source_kind
 
@@ -118,7 +118,7 @@ def index_new_segments(stream: DataFrame, index: TextIndex, checkpoint: str, ava
 
 def live_usage(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Running usage per stage and model; each batch writes a version of its own, so a reader never meets a half-written table."""
-    return _start(stage_usage(stream), lambda batch, n: _put_batch(batch.coalesce(1), path, n), checkpoint, mode="complete", available_now=available_now)
+    return _start(running_usage(stream), lambda batch, n: _put_batch(batch.coalesce(1), path, n), checkpoint, mode="complete", available_now=available_now)
 
 
 def latest_usage(spark: SparkSession, path: str) -> DataFrame:
