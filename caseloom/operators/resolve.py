@@ -55,22 +55,25 @@ def _acronyms(name: Column) -> Column:
     return F.when(F.size(words) > 1, kept).otherwise(F.array().cast("array<string>"))
 
 
-def candidate_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def name_pairs(nodes: DataFrame) -> DataFrame:
     """Likely duplicates of the same type: same name, acronym and full name, or names one edit apart.
 
     Equal names are linked to their smallest id only (a star, not all pairs). Acronyms meet names by equality.
     Names one edit apart share the text left after deleting one character; as the names are distinct, a
     text can only be shared by so many of them as one inserted character allows, however large the data. A number
     is an identity, not a spelling: only names with the same numbers in them are compared, and digits are never deleted.
+
+    The joins are by sorting: files of names are small for their rows, and rows made of them by explode are not counted, so
+    Spark would take either side for small enough to go through the driver.
     """
     named = nodes.select(*NODE_KEY, F.lower("entity_type").alias("kind"), compared_name(F.col("label")).alias("name")).filter("name <> ''")
     names = cut_lineage(named.groupBy("case_id", "kind", "name").agg(F.min("node_id").alias("lead")))
     group = ["case_id", "kind"]
-    same = named.join(names, [*group, "name"]).filter(F.col("node_id") != F.col("lead")).select(
+    same = named.join(names.hint("merge"), [*group, "name"]).filter(F.col("node_id") != F.col("lead")).select(
         *group, F.col("lead").alias("first_id"), F.col("node_id").alias("second_id"), F.col("name").alias("first_name"), F.col("name").alias("second_name"), F.lit("same_name").alias("reason"))
     short = names.filter(~F.col("name").contains(" ")).select(*group, F.col("name").alias("acronym"), F.col("lead").alias("first_id"), F.col("name").alias("first_name"))
     full = names.select(*group, "lead", "name", F.explode(_acronyms(F.col("name"))).alias("acronym"))
-    by_acronym = full.join(short, [*group, "acronym"]).select(
+    by_acronym = full.join(short.hint("merge"), [*group, "acronym"]).select(
         *group, "first_id", F.col("lead").alias("second_id"), "first_name", F.col("name").alias("second_name"), F.lit("acronym").alias("reason"))
     letters = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: ~F.substr("name", i, F.lit(1)).rlike("[0-9]"))
     shortened = F.transform(letters, lambda i: F.concat(F.substr("name", F.lit(1), i - 1), F.substr("name", i + 1)))
@@ -80,15 +83,20 @@ def candidate_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     left = keys.select(*group, "key", F.col("lead").alias("first_id"), F.col("name").alias("first_name"))
     right = keys.select(*group, "key", F.col("lead").alias("second_id"), F.col("name").alias("second_name"))
     same_numbers = F.regexp_extract_all("first_name", F.lit("[0-9]+"), F.lit(0)) == F.regexp_extract_all("second_name", F.lit("[0-9]+"), F.lit(0))
-    near = left.join(right, [*group, "key"]).filter(
+    near = left.join(right.hint("merge"), [*group, "key"]).filter(
         (F.col("first_name") < F.col("second_name")) & (F.levenshtein("first_name", "second_name", 1) == 1) & same_numbers
     ).select(*group, "first_id", "second_id", "first_name", "second_name", F.lit("one_edit").alias("reason"))
-    pairs = same.unionByName(by_acronym).unionByName(near).groupBy(*group, "first_id", "second_id", "first_name", "second_name").agg(F.min("reason").alias("reason"))
+    return same.unionByName(by_acronym).unionByName(near).groupBy(*group, "first_id", "second_id", "first_name", "second_name").agg(F.min("reason").alias("reason"))
+
+
+def candidate_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """name_pairs() with likeness of the names and the number of neighbours that both have."""
+    pairs, group = cut_lineage(name_pairs(nodes)), ["case_id", "kind"]
     a, b = F.split("first_name", " "), F.split("second_name", " ")
     scored = pairs.withColumn(
         "name_similarity", 1 - F.levenshtein("first_name", "second_name") / F.greatest(F.length("first_name"), F.length("second_name"))
     ).withColumn("token_overlap", F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-    return scored.join(_common_neighbours(scored, edges), [*group, "first_id", "second_id"], "left").withColumn(
+    return scored.join(_common_neighbours(scored, edges).hint("merge"), [*group, "first_id", "second_id"], "left").withColumn(
         "common_neighbours", F.coalesce("common_neighbours", F.lit(0)))
 
 
@@ -97,8 +105,8 @@ def _common_neighbours(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     links = ends.select("case_id", F.col("src_id").alias("node_id"), F.col("tgt_id").alias("other")).unionByName(
         ends.select("case_id", F.col("tgt_id").alias("node_id"), F.col("src_id").alias("other"))).distinct()
     key = ["case_id", "kind", "first_id", "second_id"]
-    of_first = pairs.select(*key).join(links.withColumnRenamed("node_id", "first_id"), ["case_id", "first_id"])
-    shared = of_first.join(links.withColumnRenamed("node_id", "second_id"), ["case_id", "second_id", "other"], "left_semi")
+    of_first = pairs.select(*key).join(links.withColumnRenamed("node_id", "first_id").hint("merge"), ["case_id", "first_id"])
+    shared = of_first.join(links.withColumnRenamed("node_id", "second_id").hint("merge"), ["case_id", "second_id", "other"], "left_semi")
     return shared.groupBy(*key).agg(F.count(F.lit(1)).alias("common_neighbours"))
 
 
