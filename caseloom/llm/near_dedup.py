@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -18,8 +16,6 @@ COORDINATES = BANDS * ROWS
 #: Expected darts per text: enough that an empty coordinate is rare; texts with one are thrown again over twice the range.
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 BATCH = 256
-#: Orders in which a bucket's ends are chosen, at least.
-TURNS = 3
 #: Slots of the table of shingle frequencies that every task holds while rest pairs are sought, 8 bytes each.
 SLOTS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -156,14 +152,12 @@ def components(edges: DataFrame) -> DataFrame:
     return own.join(edges.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("root"))
 
 
-def bucket_links(members: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs (a, b) from rows (doc_id, band, key, class): every member with the first and last of its bucket.
+def bucket_links(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) from rows (doc_id, band, key, class): every member with the first and last of its bucket, by id.
 
-    The order is that of the ids in turn 0 and in every later turn another hash of them, a different one in each band.
     Buckets whose members are all of one class already are passed over; no pair within a class is made.
     """
-    place = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn), "band")
-    member = F.struct(place.alias("place"), "doc_id", "class")
+    member = F.struct("doc_id", "class")
     # written out, so that the join below can split a large bucket
     ends = cut_lineage(members.groupBy("band", "key").agg(
         F.min(member).alias("first"), F.max(member).alias("last"), F.min("class").alias("lo"), F.max("class").alias("hi"),
@@ -231,15 +225,18 @@ def rest_pairs(members: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         return left.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut_lineage(prefixes(texts.join(left, "doc_id"), least))
-    light = rows.filter("short").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "class", "weight", "start")])
-    heavy = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "class", "weight", "start")])
-    # classes first, so that the copies of one class make no pairs
-    meet = light.select("shingle", "class_a").distinct().join(heavy.select("shingle", "class_b").distinct(), "shingle").filter("class_a <> class_b")
-    both = light.join(meet, ["shingle", "class_a"]).join(heavy, ["shingle", "class_b"])
+    # the most that the other text can weigh if this shingle is the first one in common
+    whole = (1 + least) / least
+    rows = rows.withColumn("reach", (F.col("weight") - F.col("start") + 1e-6) * whole - F.col("weight"))
+    light = rows.filter("short").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "class", "weight", "reach")])
+    heavy = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "class", "weight", "reach")])
+    # classes first, so that the copies of one class make no pairs, and only where weights and places allow one of their pairs
+    of_a = light.groupBy("shingle", "class_a").agg(F.min("weight_a").alias("low_a"), F.max("reach_a").alias("far_a"))
+    of_b = heavy.groupBy("shingle", "class_b").agg(F.min("weight_b").alias("low_b"), F.max("weight_b").alias("high_b"), F.max("reach_b").alias("far_b"))
+    meet = of_a.join(of_b, "shingle").filter("class_a <> class_b and low_a <= far_b and low_b <= far_a and low_a <= high_b").drop("low_a", "far_a")
+    both = light.join(meet, ["shingle", "class_a"]).filter("weight_a <= far_b and low_b <= reach_a and weight_a <= high_b").join(heavy, ["shingle", "class_b"])
     lighter = (F.col("weight_a") < F.col("weight_b")) | ((F.col("weight_a") == F.col("weight_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
-    most = F.least(F.col("weight_a") - F.col("start_a"), F.col("weight_b") - F.col("start_b"))
-    needed = F.lit(least / (1 + least)) * (F.col("weight_a") + F.col("weight_b")) - 1e-6
-    near = both.filter(lighter & (F.col("weight_a") >= F.col("weight_b") * least - 1e-6) & (most >= needed))
+    near = both.filter(lighter & F.expr("weight_a <= reach_b and weight_b <= reach_a"))
     return near.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
@@ -248,35 +245,25 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Equal texts (64 bits over the text and its SHA-256) are one text, known by its smallest doc_id copy_of. Texts
     meet where a band of their signatures agrees; a bucket's members are compared with its first and last member by exact
-    likeness; buckets still of several classes take another order and so other ends, at least TURNS times and as long
-    as new links are found. Then the texts of buckets still of several classes are compared with every text of another class
+    likeness. Then the texts of buckets still of several classes are compared with every text of another class
     that can be alike enough (rest_pairs), so that no pair of a bucket stays untested.
     Null texts and texts without words are classes of their own; a repeated row has its row's class.
     """
     marked = cut_lineage(banded(docs))
     copies = cut_lineage(marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     members = copies.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    links, root, tried, last = None, None, None, False
-    for turn in count():
+    links, root, tried = None, None, None
+    for rest in (False, True):
         if root is None:
             classed = members.withColumn("class", F.col("doc_id"))
         else:
             classed = members.join(root.withColumnsRenamed({"node": "doc_id", "root": "class"}), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-        pairs = rest_pairs(classed, docs, least) if last else bucket_links(classed, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        found = None if pairs.isEmpty() else cut_lineage(verified(pairs, docs, least))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if found is None or found.isEmpty():
-            if last:
-                break
-            last = turn + 1 >= TURNS
-            continue
-        links = found if links is None else links.unionByName(found)
-        root = cut_lineage(components(links))
-        if last:
-            break
+        pairs = rest_pairs(classed, docs, least).join(tried, ["a", "b"], "left_anti") if rest else bucket_links(classed)
+        tried = cut_lineage(pairs)
+        found = None if tried.isEmpty() else cut_lineage(verified(tried, docs, least))
+        if found is not None and not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            root = cut_lineage(components(links))
     of = marked.select("doc_id", "digest").join(copies.select("digest", F.col("doc_id").alias("copy_of")), "digest").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
     if root is not None:
         of = of.join(root.withColumnsRenamed({"node": "copy_of", "root": "class_id"}), "copy_of", "left")
