@@ -14,8 +14,8 @@ from caseloom.llm.units import UnitMemory
 
 MARK = "▁"
 #: Pairs of pieces whose merging is remembered, and words per worker whose ids are.
-PAIRS, REMEMBER = 200_000, 150_000
-BATCH = 256
+PAIRS, REMEMBER = 400_000, 400_000
+BATCH = 1000
 LAST = float("inf")
 LETTER = r"[^\W_]"
 
@@ -44,7 +44,16 @@ class PieceModel(UnitMemory):
         usable = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.number_of = {self.pieces[i]: i for i in usable}
         self.rank = {self.pieces[i]: -model.get_score(i) for i in usable}
-        self.most = max(map(len, self.rank), default=1)
+        # by the last characters of a prefix, up to three, the lengths of the pieces that may end there, longest first
+        lengths: dict[str, set[int]] = {}
+        for p in self.rank:
+            for n in range(1, min(3, len(p)) + 1):
+                lengths.setdefault(p[-n:], set()).add(len(p))
+        self.lengths = {}
+        for tail, own in lengths.items():
+            if len(tail) == 3:
+                own = own | {n for n in (1, 2) if n in lengths.get(tail[-n:], ())}
+            self.lengths[tail] = tuple(sorted(own | {1}, reverse=True))
         if len(self.byte_id) != 256 or any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("the model needs byte fallback and pieces with marks at their start only")
         # characters that no piece holds together with another one part words wherever they stand
@@ -125,7 +134,7 @@ class PieceModel(UnitMemory):
         sizes: list[int] = []
         last: list[str] = [""]  # last piece of every prefix of the current word
         before = ""
-        known, apart, most = self.rank, self.apart, self.most
+        known, apart, lengths, alone = self.rank, self.apart, self.lengths, (1,)
         words = sorted(units)
         for word in words:
             common = 0
@@ -135,9 +144,16 @@ class PieceModel(UnitMemory):
                 common += 1
             del last[common + 1:]
             for end in range(common + 1, len(word) + 1):
-                for start in range(max(0, end - most), end):
+                tail = word[max(0, end - 3):end]
+                found = lengths.get(tail)
+                if found is None:  # no piece of three characters or more ends here
+                    found = (2, 1) if word[max(0, end - 2):end] in known else alone
+                for n in found:
+                    if n > end:
+                        continue
+                    start = end - n
                     piece = word[start:end]
-                    if piece in known or end - start == 1:
+                    if n == 1 or piece in known:
                         stays = apart.get((last[start], piece))
                         if self.stays(last[start], piece) if stays is None else stays:
                             last.append(piece)

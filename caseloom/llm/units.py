@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 
@@ -28,12 +30,13 @@ class UnitMemory:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parted = [self.parts(t) for t in texts]
-        new = dict.fromkeys(u for us in parted for u in us if u not in self.number)
+        own = dict.fromkeys(chain.from_iterable(parted))
+        new = [u for u in own if u not in self.number]
         if len(self.number) + len(new) > self.remember:
             self.forget()
-            new = dict.fromkeys(u for us in parted for u in us)
+            new = list(own)
         if new:
-            units, chunks, size = self.learn(list(new))
+            units, chunks, size = self.learn(new)
             base, total = len(self.flat), np.cumsum(size)
             self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
             self.flat = np.concatenate([self.flat, *chunks])
