@@ -79,8 +79,9 @@ def graph_view(
     edges = filter_edges(edges, **edge_filters)
     if entity_types:
         nodes = nodes.filter(F.lower("entity_type").isin([t.lower() for t in entity_types]))
-        edges = both_ends(edges, nodes)
     if focus:
+        if entity_types:  # paths go through nodes of these types only; without a focus one look at both ends, below, is enough
+            edges = both_ends(edges, nodes)
         nodes, edges = focus_on(nodes, edges, focus, max(0, max_hops))
     if limit is None:
         return nodes.withColumn("rank", F.lit(None).cast("long")), both_ends(edges, nodes), nodes.select("case_id", F.lit(False).alias("truncated")).distinct()
