@@ -26,8 +26,8 @@ ROUNDS = 12
 TARGET, TUNING_ROWS, TUNING_K = 0.97, 256, 10
 #: Candidates per wanted hit that are compared exactly.
 SHORTLIST = 20
-#: Stored vectors and queries of one list that meet in one task, and estimates held there at a time.
-PART_ROWS, BLOCK_QUERIES, CELLS = 100_000, 512, 1 << 21
+#: Stored vectors and queries that meet in one task, numbers held there at a time, and rows whose way to all centres is held.
+PART_ROWS, BLOCK_QUERIES, CELLS, NEAR_ROWS = 100_000, 2048, 1 << 21, 1024
 
 
 def k_means(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -47,10 +47,14 @@ def k_means(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of every row and the squared distance to it."""
-    away = (centres ** 2).sum(axis=1) - 2 * rows @ centres.T
-    own = away.argmin(axis=1)
-    return own, away[np.arange(len(rows)), own] + (rows ** 2).sum(axis=1)
+    """The nearest centre of every row and the squared distance to it; the distances to all centres are held for NEAR_ROWS rows."""
+    own, far, squares = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows)), (centres ** 2).sum(axis=1)
+    for a in range(0, len(rows), NEAR_ROWS):
+        part = rows[a:a + NEAR_ROWS]
+        away = squares - 2 * part @ centres.T
+        own[a:a + NEAR_ROWS] = best = away.argmin(axis=1)
+        far[a:a + NEAR_ROWS] = away[np.arange(len(part)), best] + (part ** 2).sum(axis=1)
+    return own, far
 
 
 def lists_needed(rows: np.ndarray, centres: np.ndarray, target: float = TARGET) -> int:
@@ -88,6 +92,14 @@ class Quantiser:
             return np.zeros((len(rows), 0))
         return np.pad(rows, ((0, 0), (0, self.width - rows.shape[1])))
 
+    def probed(self, rows: np.ndarray, probes: int) -> np.ndarray:
+        """base[row, list]: the part of an estimate that the list's centre gives, -inf for all but the nearest lists."""
+        base = rows @ self.centres.T
+        if probes < len(self.centres):
+            away = (self.centres ** 2).sum(axis=1) - 2 * base
+            np.put_along_axis(base, np.argsort(away, axis=1, kind="stable")[:, probes:], -np.inf, axis=1)
+        return base
+
     def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists, _ = nearest(rows, self.centres)
         left = rows - self.centres[lists]
@@ -163,46 +175,56 @@ def _copies(n: str) -> Column:
 
 
 def shortlists(index: VectorIndex, queries: DataFrame, size: int, probes: int | None = None) -> DataFrame:
-    """query_id, case_id, item_id: the `size` items of the probed lists with the best estimates."""
+    """query_id, case_id, item_id: the `size` items of the probed lists with the best estimates.
+
+    A case's lists are dealt into groups of about PART_ROWS vectors, a larger group is cut into parts. A query goes once to
+    each part of a group in which it probes a list, however many it probes there; the lists are found again in the task.
+    """
     quantiser = index.quantiser
     probes = probes or quantiser.probes
+    share = lambda n: F.ceil(F.count(F.lit(1)) / F.lit(n)).cast("int")
+    groups = index.codes.groupBy("case_id").agg(share(PART_ROWS).alias("groups"))
+    dealt = index.codes.join(groups, "case_id").withColumn("group", F.col("list") % F.col("groups")).drop("groups")
 
     def probed(frames):
         for frame in frames:
-            rows = quantiser.units(frame["vector"]) if len(frame) else np.zeros((0, quantiser.width))
-            away = (quantiser.centres ** 2).sum(axis=1) - 2 * rows @ quantiser.centres.T
-            best = np.argsort(away, axis=1, kind="stable")[:, :probes]
-            n = best.shape[1]
-            yield pd.DataFrame({
-                "query_id": np.repeat(frame["query_id"].to_numpy(object), n), "case_id": np.repeat(frame["case_id"].to_numpy(object), n), "list": best.ravel(),
-                "base": np.take_along_axis(rows @ quantiser.centres.T, best, axis=1).ravel(), "vector": [row for row in rows for _ in range(n)]})
-
-    where = ["case_id", "list"]
-    asked = cut_lineage(queries.select(F.col("query_id").cast("string"), "case_id", "vector").mapInPandas(
-        probed, "query_id string, case_id string, list int, base double, vector array<double>"))
-    count = lambda df, n, name: df.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / F.lit(n)).cast("int").alias(name))
-    sizes = count(asked, BLOCK_QUERIES, "blocks").join(count(index.codes, PART_ROWS, "parts"), where)
+            for a in range(0, len(frame), NEAR_ROWS):
+                part = frame.iloc[a:a + NEAR_ROWS]
+                met = np.isfinite(quantiser.probed(quantiser.units(part["vector"]), probes))
+                yield pd.DataFrame({"query_id": part["query_id"], "case_id": part["case_id"], "vector": part["vector"],
+                                    "group": [np.unique(np.flatnonzero(m) % n) for m, n in zip(met, part["groups"])]})
+
+    asked = queries.select(F.col("query_id").cast("string"), "case_id", F.col("vector").cast("array<double>")).join(groups, "case_id")
+    asked = cut_lineage(asked.mapInPandas(probed, "query_id string, case_id string, vector array<double>, group array<int>").withColumn("group", F.explode("group")))
+    where = ["case_id", "group"]
+    sizes = asked.groupBy(*where).agg(share(BLOCK_QUERIES).alias("blocks")).join(dealt.groupBy(*where).agg(share(PART_ROWS).alias("parts")), where)
     left = asked.join(sizes, where).withColumn("block", _part("query_id", "blocks")).withColumn("part", _copies("parts")).drop("blocks", "parts")
-    right = index.codes.join(sizes, where).withColumn("part", _part("item_id", "parts")).withColumn("block", _copies("blocks")).drop("blocks", "parts")
+    right = dealt.join(sizes, where).withColumn("part", _part("item_id", "parts")).withColumn("block", _copies("blocks")).drop("blocks", "parts")
 
     def scan(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
             codes = np.frombuffer(b"".join(v["code"]), dtype=np.uint8).reshape(len(v), -1)
-            items = v["item_id"].to_numpy(object)
-            rows = np.stack(q["vector"]).reshape(len(q), codes.shape[1], -1)
-            tables = np.einsum("swd,qsd->qsw", quantiser.words, rows)
+            items, lists = v["item_id"].to_numpy(object), v["list"].to_numpy()
+            units = quantiser.units(q["vector"])
+            base = quantiser.probed(units, probes)
+            near = np.argsort(base.argmax(axis=1), kind="stable")  # queries of the same lists are scanned together
             step = max(1, CELLS // len(v))
             for a in range(0, len(q), step):
-                part = q.iloc[a:a + step]
-                guess = np.repeat(part["base"].to_numpy()[:, None], len(v), axis=1)
+                own = near[a:a + step]
+                tables = np.einsum("swd,qsd->qsw", quantiser.words, units[own].reshape(len(own), codes.shape[1], -1))
+                rows = np.flatnonzero(np.isfinite(base[own]).any(axis=0)[lists])
+                if not len(rows):
+                    continue
+                guess = base[own][:, lists[rows]]
                 for s in range(codes.shape[1]):
-                    guess += tables[a:a + step, s][:, codes[:, s]]
-                keep = np.argpartition(-guess, size - 1, axis=1)[:, :size] if len(v) > size else np.tile(np.arange(len(v)), (len(part), 1))
-                n = keep.shape[1]
+                    guess += tables[:, s][:, codes[rows, s]]
+                keep = np.argpartition(-guess, size - 1, axis=1)[:, :size] if len(rows) > size else np.tile(np.arange(len(rows)), (len(own), 1))
+                best = np.take_along_axis(guess, keep, axis=1)
+                who, place = np.nonzero(np.isfinite(best))
                 out.append(pd.DataFrame({
-                    "query_id": np.repeat(part["query_id"].to_numpy(object), n), "case_id": np.repeat(part["case_id"].to_numpy(object), n),
-                    "item_id": items[keep.ravel()], "guess": np.take_along_axis(guess, keep, axis=1).ravel()}))
+                    "query_id": q["query_id"].to_numpy(object)[own[who]], "case_id": q["case_id"].iloc[0],
+                    "item_id": items[rows[keep[who, place]]], "guess": best[who, place]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "case_id": [], "item_id": [], "guess": []})
 
     keys = [*where, "block", "part"]

@@ -54,3 +54,22 @@ def test_centres_are_means():
     centres = vi.k_means(rows, 12, 3)
     own, away = vi.nearest(rows, centres)
     assert np.allclose(away, ((rows - centres[own]) ** 2).sum(axis=1)) and len(np.unique(own)) == 12
+
+
+def test_queries_are_sent_once_per_part(spark, clustered, monkeypatch):
+    index = vi.build(clustered, vi.train(clustered, sample=400))
+    sent, own = [], vi.cut_lineage
+    monkeypatch.setattr(vi, "cut_lineage", lambda df: sent.append(own(df)) or sent[-1])
+    monkeypatch.setattr(vi, "CELLS", 5000)
+    met = vi.shortlists(index, asked(clustered), 3000, probes=4)
+    # all probed lists of a query lie in one part, so it goes there once and not once per list
+    assert sent[0].count() == asked(clustered).count()
+    # and what it meets there are its probed lists, whole
+    lists = {}
+    for r in index.codes.collect():
+        lists.setdefault((r.case_id, r.list), set()).add(r.item_id)
+    want = set()
+    for r in asked(clustered).collect():
+        away = ((index.quantiser.units([r.vector]) - index.quantiser.centres) ** 2).sum(axis=1)
+        want |= {(r.query_id, i) for l in np.argsort(away, kind="stable")[:4] for i in lists.get((r.case_id, int(l)), ())}
+    assert {(r.query_id, r.item_id) for r in met.filter("query_id <> 'qzero'").collect()} == {w for w in want if w[0] != "qzero"}
