@@ -69,11 +69,11 @@ def first_sentence(c: Column, limit: int) -> Column:
 def prefixed_type(label: Column) -> Column:
     """The bracketed type in front of a label, lower case, or null."""
     found = F.lower(F.regexp_extract(label, TYPE_PREFIX, 1))
-    return F.when(found != "", found)
+    return F.when(label.startswith("[") & (found != ""), found)
 
 
 def without_type(label: Column) -> Column:
-    return F.regexp_replace(label, TYPE_PREFIX, "")
+    return F.when(label.startswith("["), F.regexp_replace(label, TYPE_PREFIX, "")).otherwise(label)
 
 
 def split_packed(c: Column) -> Column:
@@ -117,7 +117,11 @@ def first_date(c: Column) -> Column:
 
 def clean_description(description: Column, label: Column) -> Column:
     """Drops a repeated leading label ("X: X is ..."), with or without articles."""
-    text, name = strip(description), strip(label)
+    return clean_stripped(strip(description), strip(label))
+
+
+def clean_stripped(text: Column, name: Column) -> Column:
+    """clean_description() of columns that are stripped already; they are mentioned often, so they should be plain columns."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     plain = F.concat(F.lit("(?diU)^"), quoted, F.lit(f"{LABEL_SEPARATORS}((?:{ARTICLE})?"), quoted, F.lit(r"\b.*)$"))
     articled = F.concat(F.lit(f"(?diU)^{ARTICLE}"), quoted, F.lit(f"{LABEL_SEPARATORS}({ARTICLE}"), quoted, F.lit(r"\b.*)$"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.text import (
-    blank_to_null, clean_description, first_date, pick_text, prefixed_type, relation_label, relation_type_text,
-    split_packed, usable_summary, without_type,
+    blank_to_null, clean_stripped, first_date, pick_text, prefixed_type, relation_label, relation_type_text,
+    split_packed, strip, usable_summary, without_type,
 )
 from caseloom.functions.vocabulary import FALLBACK_RELATION, normalise_entity_type, normalise_relation
 
@@ -46,10 +46,11 @@ def node_records(records: DataFrame) -> DataFrame:
         usable_summary(field(records, "description"), field(records, "summary"), field(records, "content")).alias("_summary"),
     ).filter(F.col("node_id").isNotNull())
     labelled = picked.withColumn("_label", F.coalesce("_label", "node_id")).withColumn("label", without_type(F.col("_label")))
+    labelled = labelled.withColumns({"_text": strip(F.col("_summary")), "_name": strip(F.col("label"))})
     return labelled.select(
         "case_id", "source_ord", "row_ord", "node_id", "label",
         F.coalesce(prefixed_type(F.col("_label")), normalise_entity_type(F.col("_type"))).alias("entity_type"),
-        clean_description(F.col("_summary"), F.col("label")).alias("summary"),
+        clean_stripped(F.col("_text"), F.col("_name")).alias("summary"),
     )
 
 
@@ -140,13 +141,15 @@ def implicit_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def end_counts(edges: DataFrame) -> DataFrame:
+    """case_id, node_id, degree: one count per edge end; a self-loop counts twice."""
+    ends = edges.select("case_id", F.explode(F.array("src_id", "tgt_id")).alias("node_id"))
+    return ends.groupBy("case_id", "node_id").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One count per edge end; a self-loop counts twice and lonely nodes keep zero."""
-    counts = (
-        edges.select("case_id", F.explode(F.array("src_id", "tgt_id")).alias("node_id"))
-        .groupBy("case_id", "node_id").agg(F.count(F.lit(1)).alias("degree"))
-    )
-    return nodes.join(counts, ["case_id", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return nodes.join(end_counts(edges), ["case_id", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
 def pair_details(normalised: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caseloom.operators.consolidate import edge_id, implicit_nodes, with_degree
+from caseloom.operators.consolidate import edge_id, end_counts
 from caseloom.session import cut_lineage
 
 NONE = "cast(null as string)"
@@ -84,17 +84,21 @@ def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trade_nodes(spark: SparkSession, sf: str, edges: DataFrame | None = None) -> DataFrame:
-    """Nodes with degree. The records hold one row per node, so no merge is needed here."""
+    """Nodes with degree. The records hold one row per node, so no merge is needed here.
+
+    The ends of the edges are counted once and meet the named nodes once; ends without a name are looked up among the parts.
+    """
     from caseloom.operators.consolidate import node_records
 
     edges = trade_edges(spark, sf) if edges is None else edges
     named = node_records(trade_node_records(spark, sf)).select("case_id", "node_id", "label", "entity_type", "summary")
-    parts = implicit_nodes(edges, named).alias("i").join(
+    met = cut_lineage(named.withColumn("_named", F.lit(True)).join(end_counts(edges), ["case_id", "node_id"], "full"))
+    parts = met.filter("_named is null").select("case_id", "node_id", "degree").join(
         table(spark, sf, "part").selectExpr("'P:' || p_partkey as node_id", "p_name", "p_type"), "node_id", "left"
-    ).select("case_id", "node_id", F.coalesce("p_name", "label").alias("label"),
-             F.when(F.col("p_name").isNotNull(), "object").otherwise(F.col("entity_type")).alias("entity_type"),
-             F.col("p_type").alias("summary"))
-    return with_degree(named.unionByName(parts), edges)
+    ).select("case_id", "node_id", F.coalesce("p_name", "node_id").alias("label"),
+             F.when(F.col("p_name").isNotNull(), "object").otherwise("Other").alias("entity_type"),
+             F.col("p_type").alias("summary"), "degree")
+    return met.filter("_named").withColumn("degree", F.coalesce("degree", F.lit(0))).drop("_named").unionByName(parts)
 
 
 _GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
