@@ -37,5 +37,7 @@ def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges whose two ends are both members; members may carry question columns besides case_id and node_id."""
     extra = [c for c in members.columns if c not in ("case_id", "node_id", "hop")]
     inside = members.select("case_id", *extra, "node_id").distinct()
-    first = edges.join(inside.withColumnRenamed("node_id", "src_id"), ["case_id", "src_id"])
+    # a table of a few rows: edges of other cases go before anything is shuffled
+    cases = cut_lineage(members.select("case_id").distinct())
+    first = edges.join(cases, "case_id", "left_semi").join(inside.withColumnRenamed("node_id", "src_id"), ["case_id", "src_id"])
     return first.join(inside.withColumnRenamed("node_id", "tgt_id"), ["case_id", *extra, "tgt_id"], "left_semi")

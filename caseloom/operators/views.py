@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseloom.functions.text import clean_description
 from caseloom.functions.vocabulary import ENTITY_TYPES, FALLBACK_RELATION, entity_subtype, normalise_entity_type
 from caseloom.operators.traverse import induced_edges, khop_nodes
-from caseloom.session import number_rows, top_per_key
+from caseloom.session import cut_lineage, number_rows, top_per_key
 
 NODE_KEY = ["case_id", "node_id"]
 
@@ -119,48 +119,54 @@ def search_actors(nodes: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> Da
     return _search(nodes, query, [F.concat_ws(" ", "label", "node_id")], [], limit)
 
 
-def _edge_filter_for_listing(
-    edges: DataFrame, categories, keyword, include_undated, year_min, year_max
-) -> DataFrame:
-    dated = F.col("timestamp").isNotNull() & (F.col("timestamp") != "")
+def _listed(categories=None, keyword=None, include_undated=True, year_min=None, year_max=None) -> Column:
+    """Whether an edge passes the filters of a listing."""
+    passes, dated = F.lit(True), F.col("timestamp").isNotNull() & (F.col("timestamp") != "")
     if categories:
-        edges = edges.filter(F.upper("relation_type").isin([c.upper() for c in categories]))
+        passes = passes & F.upper("relation_type").isin([c.upper() for c in categories])
     if keyword and keyword.strip():
         text = F.lower(F.concat(F.col("relation_type"), F.lit(" "), F.col("label"), F.lit(" "), F.coalesce("raw_phrase", F.lit(""))))
-        edges = edges.filter(text.contains(keyword.strip().lower()))
+        passes = passes & text.contains(keyword.strip().lower())
     if not include_undated:
-        edges = edges.filter(dated)
+        passes = passes & dated
     year = F.expr("try_cast(split(timestamp, '-')[0] as int)")
     if year_min:
-        edges = edges.filter(~dated | year.isNull() | (year >= year_min))
+        passes = passes & (~dated | year.isNull() | (year >= year_min))
     if year_max:
-        edges = edges.filter(~dated | year.isNull() | (year <= year_max))
-    return edges
+        passes = passes & (~dated | year.isNull() | (year <= year_max))
+    return passes
+
+
+def actor_scope(nodes: DataFrame, edges: DataFrame, actor: str | None, max_hops: int) -> DataFrame:
+    """Edges near the actor in cases that know it, all edges of the other cases."""
+    if not actor:
+        return edges
+    # written out, so that the few cases with the actor are known to be few and edges are not shuffled by case
+    seeds = cut_lineage(nodes.filter((F.col("label") == actor) | (F.col("node_id") == actor)).select(*NODE_KEY))
+    near = khop_nodes(edges, seeds, max(0, max_hops))
+    untouched = edges.join(seeds.select("case_id").distinct(), "case_id", "left_anti")
+    return induced_edges(edges, near).select(*edges.columns).unionByName(untouched)
+
+
+def relationship_counts(nodes: DataFrame, edges: DataFrame, *, actor=None, max_hops: int = 0, **filters) -> DataFrame:
+    """One row per case: its nodes and edges, the edges in scope and those of them that are listed, both counted in one pass."""
+    n = F.count(F.lit(1))
+    within = actor_scope(nodes, edges, actor, max_hops).groupBy("case_id").agg(n.alias("total_before_filter"), F.count_if(_listed(**filters)).alias("total_before_limit"))
+    counts = nodes.groupBy("case_id").agg(n.alias("node_count"))
+    counts = counts.join(edges.groupBy("case_id").agg(n.alias("edge_count")), "case_id", "left").join(within, "case_id", "left")
+    return counts.fillna(0, ["edge_count", "total_before_filter", "total_before_limit"]).withColumn("projection_empty", F.lit(False))
 
 
 def relationships(
     nodes: DataFrame, edges: DataFrame, details: DataFrame | None = None, evidence: DataFrame | None = None, *, limit: int,
-    categories=None, year_min=None, year_max=None, include_undated=True, keyword=None, actor=None, max_hops: int = 0,
-) -> tuple[DataFrame, DataFrame]:
-    """(ranked relationship rows, one row of counts per case)."""
-    total_nodes = nodes.groupBy("case_id").agg(F.count(F.lit(1)).alias("node_count"))
-    total_edges = edges.groupBy("case_id").agg(F.count(F.lit(1)).alias("edge_count"))
-    scope = edges
-    if actor:
-        seeds = nodes.filter((F.col("label") == actor) | (F.col("node_id") == actor)).select(*NODE_KEY)
-        near = khop_nodes(edges, seeds, max(0, max_hops))
-        untouched = edges.join(seeds.select("case_id").distinct(), "case_id", "left_anti")
-        scope = induced_edges(edges, near).select(*edges.columns).unionByName(untouched)
-    kept = _edge_filter_for_listing(scope, categories, keyword, include_undated, year_min, year_max)
-    counts = total_nodes
-    for part, name in ((total_edges, "edge_count"), (None, "total_before_filter"), (None, "total_before_limit")):
-        if part is None:
-            source = scope if name == "total_before_filter" else kept
-            part = source.groupBy("case_id").agg(F.count(F.lit(1)).alias(name))
-        counts = counts.join(part, "case_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    counts = counts.withColumn("projection_empty", F.lit(False))
-    listed = top_per_key(kept, ["case_id"], [F.col("edge_id")], max(1, limit))
-    ends = nodes.select("case_id", "node_id", "label", "entity_type", "summary")
+    actor=None, max_hops: int = 0, **filters,
+) -> DataFrame:
+    """Ranked relationship rows."""
+    kept = actor_scope(nodes, edges, actor, max_hops).filter(_listed(**filters))
+    # a few rows per case, written out so that nodes need not be shuffled to meet them
+    listed = cut_lineage(top_per_key(kept, ["case_id"], [F.col("edge_id")], max(1, limit)))
+    named = listed.select("case_id", F.explode(F.array("src_id", "tgt_id")).alias("node_id"))
+    ends = nodes.select("case_id", "node_id", "label", "entity_type", "summary").join(named, NODE_KEY, "left_semi")
 
     def side(prefix: str, key: str) -> DataFrame:
         return ends.select("case_id", F.col("node_id").alias(key), F.col("label").alias(f"{prefix}_label"),
@@ -187,7 +193,7 @@ def relationships(
         F.col("relation_type").alias("action"), F.coalesce(*described).alias("description"),
         F.col("tgt_id").alias("target_id"), F.coalesce("target_label", "tgt_id").alias("target"),
         F.coalesce("target_type", F.lit("other")).alias("target_type"), "actor_summary", "target_summary", *keep,
-    ), counts
+    )
 
 
 def actor_stats(nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
