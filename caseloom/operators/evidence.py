@@ -98,7 +98,8 @@ def attach_snippets(
     """Snippet of the referenced chunk, else of the owner's first known source chunk, else of the document.
 
     chunks(case_id, key, content); full_docs(case_id, document_id, content); owner_sources(case_id, owner_key,
-    source_id, first_seen). The texts shrink to one sentence before they are shuffled.
+    source_id, first_seen). The texts shrink to one sentence before they are shuffled. Without owner_sources a fact needs no
+    owner: other columns of evidence are passed on, so a fact of several owners can be looked up once.
     """
     snippets = chunks.select("case_id", "key", first_sentence(F.col("content"), SNIPPET_LIMIT).alias("snippet"))
     whole = full_docs.select("case_id", "document_id", first_sentence(F.col("content"), SNIPPET_LIMIT).alias("_doc_snippet"))
@@ -115,7 +116,7 @@ def attach_snippets(
     source = F.when(reference_hit, F.col("reference_id")).otherwise(F.col("_src.source_id"))
     from_document = F.when(chunk_snippet.isNull() & F.col("_doc_snippet").isNotNull(), F.col("document_id"))
     return joined.select(
-        *OWNER, *FACTS,
+        *[c for c in evidence.columns if c not in FACTS], *FACTS,
         F.coalesce(source, from_document, F.col("reference_id")).alias("source_id"),
         F.coalesce(chunk_snippet, F.col("_doc_snippet")).alias("snippet"),
     )
