@@ -76,8 +76,8 @@ def consolidate_nodes(records: DataFrame) -> DataFrame:
     )
 
 
-def edge_records(records: DataFrame, words: dict[str, str] | None = None) -> DataFrame:
-    """One normalised row per raw relation record that names both endpoints."""
+def edge_records(records: DataFrame, words: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One normalised row per raw relation record that names both endpoints; columns named in keep are passed on."""
     src = _pick(records, "src_id", "source", "src", "from")
     tgt = _pick(records, "tgt_id", "target", "tgt", "to")
     content = field(records, "content")
@@ -93,7 +93,7 @@ def edge_records(records: DataFrame, words: dict[str, str] | None = None) -> Dat
         field(records, "keywords").alias("_keywords"),
         (F.expr("try_cast(weight as double)") if "weight" in records.columns else F.lit(None).cast("double")).alias("weight"),
         dated.alias("timestamp"),
-        split_packed(field(records, "source_id")).alias("source_ids"),
+        split_packed(field(records, "source_id")).alias("source_ids"), *keep,
     ).filter(F.col("src_id").isNotNull() & F.col("tgt_id").isNotNull())
     typed = labelled.withColumn("_norm", normalise_relation(F.array("_wording", "label", "_keywords"), words))
     return typed.select(
@@ -104,7 +104,7 @@ def edge_records(records: DataFrame, words: dict[str, str] | None = None) -> Dat
         F.col("_norm.raw_phrase").alias("raw_phrase"),
         F.col("_norm.confidence_score").alias("confidence_score"),
         F.col("_norm.confidence_band").alias("confidence_band"),
-        "weight", "timestamp", "source_ids",
+        "weight", "timestamp", "source_ids", *keep,
     )
 
 
@@ -152,9 +152,12 @@ def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(end_counts(edges), ["case_id", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def pair_details(normalised: DataFrame) -> DataFrame:
-    """Per directed pair: longest label, relation types in order seen, first wording, score and band."""
-    pair = ["case_id", "src_id", "tgt_id"]
+def pair_details(normalised: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per directed pair: longest label, relation types in order seen, first wording, score and band.
+
+    keep names columns that follow from the pair; records that were put together by them stay where they are.
+    """
+    pair = ["case_id", *keep, "src_id", "tgt_id"]
     per_type = normalised.groupBy(*pair, "relation_type").agg(
         F.min(seen_at()).alias("seen"),
         F.max_by("label", F.struct(F.length("label"), -F.col("source_ord"), -F.col("row_ord"))).alias("label"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.text import base_name, first_sentence, pick_text, split_packed, strip
 
@@ -111,12 +111,24 @@ def attach_snippets(
         known = owner_sources.join(snippets.withColumnRenamed("key", "source_id"), ["case_id", "source_id"])
         first = known.groupBy("case_id", "owner_key").agg(F.min_by(F.struct("source_id", "snippet"), "first_seen").alias("_src"))
         joined = joined.join(first, ["case_id", "owner_key"], "left")
+    return _shown(joined, evidence.columns)
+
+
+def beside_snippets(evidence: DataFrame, reference_text: Column, document_text: Column) -> DataFrame:
+    """attach_snippets() for rows that have the texts of their reference and their document at hand (null: there is none), so that nothing is looked up."""
+    return _shown(evidence.select(
+        "*", first_sentence(reference_text, SNIPPET_LIMIT).alias("_ref_snippet"), reference_text.isNotNull().alias("_ref_hit"),
+        first_sentence(document_text, SNIPPET_LIMIT).alias("_doc_snippet"), F.lit(None).cast("struct<source_id:string,snippet:string>").alias("_src")), evidence.columns)
+
+
+def _shown(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """Source and snippet of joined facts: the reference's text, the owner's, the document's."""
     reference_hit = F.coalesce("_ref_hit", F.lit(False))
     chunk_snippet = F.when(reference_hit, F.col("_ref_snippet")).otherwise(F.col("_src.snippet"))
     source = F.when(reference_hit, F.col("reference_id")).otherwise(F.col("_src.source_id"))
     from_document = F.when(chunk_snippet.isNull() & F.col("_doc_snippet").isNotNull(), F.col("document_id"))
     return joined.select(
-        *[c for c in evidence.columns if c not in FACTS], *FACTS,
+        *[c for c in columns if c not in FACTS], *FACTS,
         F.coalesce(source, from_document, F.col("reference_id")).alias("source_id"),
         F.coalesce(chunk_snippet, F.col("_doc_snippet")).alias("snippet"),
     )

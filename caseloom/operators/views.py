@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions.text import clean_description
 from caseloom.functions.vocabulary import ENTITY_TYPES, FALLBACK_RELATION, entity_subtype, normalise_entity_type
+from caseloom.operators.consolidate import edge_id
 from caseloom.operators.traverse import induced_edges, khop_nodes
 from caseloom.session import cut_lineage, number_rows, top_per_key
 
@@ -258,17 +259,30 @@ def summary_context(nodes: DataFrame, edges: DataFrame, documents: DataFrame) ->
 
 
 def related_entities(nodes: DataFrame, edges: DataFrame, limit: int = RELATED_LIMIT) -> DataFrame:
-    """Up to six neighbours per entity by relation type and label."""
-    links = edges.select("case_id", "edge_id", "relation_type", F.col("label").alias("description"), F.col("src_id").alias("entity_id"), F.col("tgt_id").alias("node_id"))
-    reverse = edges.filter(F.col("src_id") != F.col("tgt_id")).select(
-        "case_id", "edge_id", "relation_type", F.col("label").alias("description"), F.col("tgt_id").alias("entity_id"), F.col("src_id").alias("node_id"))
+    """Up to six neighbours per entity by relation type and label.
+
+    An edge id that follows from the edge's ends and type does not travel with it: rows are narrowed down by type and label, and the id is
+    worked out again where rows that tie in both have met.
+    """
+    usual = edge_id(F.col("src_id"), F.col("tgt_id"), F.col("relation_type"))
+    other_id = F.when(~F.col("edge_id").eqNullSafe(usual), F.struct("edge_id")).alias("_id")
+    slim = edges.select("case_id", "src_id", "tgt_id", "relation_type", F.col("label").alias("description"), other_id)
+    carried = ["case_id", "relation_type", "description", "_id"]
+    links = slim.select(*carried, F.col("src_id").alias("entity_id"), F.col("tgt_id").alias("node_id"), F.lit(True).alias("_out"))
+    reverse = slim.filter(F.col("src_id") != F.col("tgt_id")).select(*carried, F.col("tgt_id").alias("entity_id"), F.col("src_id").alias("node_id"), F.lit(False).alias("_out"))
     others = nodes.select(*NODE_KEY, "label", "entity_type")
     adjacent = links.unionByName(reverse).join(others, NODE_KEY, "left").select(
         "case_id", "entity_id", F.col("node_id").alias("other_id"), F.coalesce("label", "node_id").alias("other_label"),
-        F.coalesce("entity_type", F.lit("other")).alias("other_type"), "relation_type", "description", "edge_id",
+        F.coalesce("entity_type", F.lit("other")).alias("other_type"), "relation_type", "description", "_id", "_out",
     )
-    order = [F.col("relation_type"), F.lower("other_label"), F.col("edge_id"), F.col("other_id")]
-    return top_per_key(adjacent, ["case_id", "entity_id"], order, limit)
+    entity, by_name = ["case_id", "entity_id"], [F.col("relation_type"), F.lower("other_label")]
+    near = adjacent.withColumn("_at", F.rank().over(Window.partitionBy(*entity).orderBy(*by_name))).filter(F.col("_at") <= limit)
+    ends = [F.when(F.col("_out"), F.col(a)).otherwise(F.col(b)) for a, b in (("entity_id", "other_id"), ("other_id", "entity_id"))]
+    known = near.select(
+        *entity, "other_id", "other_label", "other_type", "relation_type", "description",
+        F.when(F.col("_id").isNotNull(), F.col("_id.edge_id")).otherwise(edge_id(*ends, F.col("relation_type"))).alias("edge_id"),
+    )
+    return top_per_key(known, entity, [*by_name, F.col("edge_id"), F.col("other_id")], limit)
 
 
 def first_snippet(evidence: DataFrame, kind: str) -> DataFrame:
@@ -301,18 +315,26 @@ def entity_details(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> D
     )
 
 
-def relationship_details(nodes: DataFrame, details: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row per directed pair with the composed description; evidence has owner_kind "pair", owner_key "src|tgt"."""
-    labels = nodes.select("case_id", "node_id", "label")
-    rows = (
-        details.withColumn("owner_key", F.concat_ws("|", "src_id", "tgt_id"))
-        .join(first_snippet(evidence, "pair"), ["case_id", "owner_key"], "left")
-        .join(labels.select("case_id", F.col("node_id").alias("src_id"), F.col("label").alias("_src")), ["case_id", "src_id"], "left")
-        .join(labels.select("case_id", F.col("node_id").alias("tgt_id"), F.col("label").alias("_tgt")), ["case_id", "tgt_id"], "left")
-    )
+def relationship_details(nodes: DataFrame, details: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """One row per directed pair with the composed description; evidence has owner_kind "pair", owner_key "src|tgt".
+
+    Without evidence, details have their first snippet with them. Labels are looked up only for pairs without a description of their own.
+    """
+    if evidence is not None:
+        keyed = details.withColumn("owner_key", F.concat_ws("|", "src_id", "tgt_id"))
+        details = keyed.join(first_snippet(evidence, "pair"), ["case_id", "owner_key"], "left").drop("owner_key")
+    own = clean_description(F.col("description"), F.lit(None).cast("string"))
+    written = cut_lineage(details.withColumn("_own", own))
+    rows, bare = (written.filter(c).withColumns({"_src": F.lit(None).cast("string"), "_tgt": F.lit(None).cast("string")}) for c in ("_own is not null", "_own is null"))
+    if not bare.isEmpty():
+        labels = nodes.select("case_id", "node_id", "label")
+        rows = rows.unionByName(
+            bare.drop("_src", "_tgt")
+            .join(labels.select("case_id", F.col("node_id").alias("src_id"), F.col("label").alias("_src")), ["case_id", "src_id"], "left")
+            .join(labels.select("case_id", F.col("node_id").alias("tgt_id"), F.col("label").alias("_tgt")), ["case_id", "tgt_id"], "left"))
     relation = F.coalesce(F.try_element_at("relation_types", F.lit(1)), F.lit(FALLBACK_RELATION))
     stock = F.concat(F.coalesce("_src", "src_id"), F.lit(" is linked to "), F.coalesce("_tgt", "tgt_id"), F.lit(" through "), relation, F.lit("."))
-    base = F.coalesce(clean_description(F.col("description"), F.lit(None).cast("string")), stock)
+    base = F.coalesce("_own", stock)
     return rows.select(
         "case_id", "src_id", "tgt_id", relation.alias("relation_type"), F.array_join("relation_types", ",").alias("relation_types"),
         "raw_phrase", "confidence_score", "confidence_band", F.col("description").alias("raw_description"),
